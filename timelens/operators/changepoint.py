@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import timefn as tm
 from ..constants import CP_JUMP, CP_MIN_SEGMENT, CP_MIN_WEEKS, CP_PENALTY
 
 
@@ -63,10 +64,10 @@ def change_points(series: DataFrame, penalty: float = CP_PENALTY, min_weeks: int
 def nearest_distance(cps: DataFrame, labels: DataFrame) -> DataFrame:
     """Weeks from the turning point to the nearest change point, in whole days over seven.
 
-    Days are cut toward zero. Infinite without a change point, null without a turning point.
+    The signed distance is rounded down to days before its size is taken. Infinite without a change point, null without a turning point.
     """
     joined = cps.join(labels.select("author", "label", "tp_date"), "author")
-    days = F.transform("cp_weeks", lambda w: F.abs(F.timestamp_diff("DAY", F.col("tp_date"), w)))
+    days = F.transform("cp_weeks", lambda w: F.abs(F.floor(tm.micros_between(F.col("tp_date"), w) / F.lit(tm.DAY_US))))
     dist = (F.when(F.size("cp_weeks") == 0, F.lit(float("inf")))
             .when(F.col("tp_date").isNull(), F.lit(None).cast("double"))
             .otherwise(F.array_min(days) / F.lit(7.0)))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["timeline"]
+MODULES = ["timeline", "sources_q", "reports_q"]
 
 
 def load_all() -> None:

@@ -102,21 +102,21 @@ def flatten_interactions(raw: DataFrame, json_col: str = "value", now: Column |
         "raw_json")
 
 
-def entity_flags(pages: DataFrame, text_col: str, id_pattern: str, patterns: dict[str, str] | None = None,
-                 block_end: str | None = None) -> DataFrame:
+def entity_flags(pages: DataFrame, text_col: str, id_pattern: str, opening: tuple[str, str], block_end: str,
+                 patterns: dict[str, str] | None = None) -> DataFrame:
     """Entities named inside pages, with one boolean per pattern searched in the entity's block.
 
-    A block runs from one id to the next (or to ``block_end``). Splitting is done in arrays on
-    each page, so a page's entities need no shuffle.
+    A block starts at the first ``opening[0] + id + opening[1]`` of its page and runs to the
+    next ``block_end``; without an end it is empty. All work stays inside the page's own row.
     """
     patterns = patterns or PROVIDER_PATTERNS
-    ids = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s){id_pattern}"), F.lit(1))
-    blocks = F.split(F.col(text_col), f"(?s){id_pattern}", -1)
-    exploded = (pages.withColumn("_ids", ids).withColumn("_blocks", blocks)
-                .select(*[c for c in pages.columns if c != text_col], "_blocks", F.posexplode("_ids").alias("pos", "entity")))
-    block = F.element_at("_blocks", F.col("pos") + 2)
-    if block_end:
-        block = F.substring_index(block, block_end, 1)
-    return (exploded.withColumn("_block", block)
-            .select(*[c for c in pages.columns if c != text_col], "pos", "entity",
-                    *[F.col("_block").rlike(p).alias(n) for n, p in patterns.items()]))
+    keys = [c for c in pages.columns if c != text_col]
+    ids = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(id_pattern), F.lit(1)))
+    found = pages.select(*keys, text_col, F.explode(ids).alias("entity"))
+    head = F.concat(F.lit(opening[0]), F.col("entity"), F.lit(opening[1]))
+    start = F.position(head, F.col(text_col))
+    found = found.withColumn("_rest", F.substr(F.col(text_col), start)).drop(text_col)
+    end = F.instr(F.col("_rest"), block_end)
+    block = F.when(end > 1, F.substr("_rest", F.lit(1), end - 1)).otherwise("")
+    return (found.withColumn("_block", block)
+            .select(*keys, "entity", *[F.col("_block").rlike(p).alias(n) for n, p in patterns.items()]))
