@@ -49,14 +49,18 @@ def sentences(text: str | Column) -> Column:
     return F.filter(F.split(_c(text), SENTENCE_END), lambda s: F.length(strip(s)) > 0)
 
 
+def count_sentences(text: str | Column) -> Column:
+    """Number of non-blank sentences in one pass: runs without an end mark that hold a non-space."""
+    return F.regexp_count(_c(text), F.lit(r"(?U)[^.!?\s][^.!?]*"))
+
+
 def avg_sentence_length(text: str | Column) -> Column:
     """Mean tokens per non-blank sentence (case kept); null when the text has no sentence.
 
     A sentence break never falls inside a token, so the per-sentence token counts add up to
     the token count of the text and only the number of sentences is needed besides.
     """
-    n = F.size(sentences(text))
-    return F.when(n > 0, F.regexp_count(_c(text), F.lit(TOKEN)) / n)
+    return F.regexp_count(_c(text), F.lit(TOKEN)) / F.nullif(count_sentences(text), F.lit(0))
 
 
 def hits(token_array: Column, vocabulary: Iterable[str]) -> Column:

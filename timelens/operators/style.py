@@ -25,7 +25,7 @@ def style_facts(posts: DataFrame, i_words=FIRST_PERSON, we_words=WE_WORDS, you_w
                     tx.count_caps(w).alias("n_caps"), tx.hits(t, i_words).alias("n_i"),
                     tx.hits(t, we_words).alias("n_we"), tx.hits(t, you_words).alias("n_you"),
                     tx.count_blank_separated("text").alias("n_blank"),
-                    F.size(tx.sentences("text")).alias("n_sentences"),
+                    tx.count_sentences("text").alias("n_sentences"),
                     tx.count_syllables("text").alias("n_syllables")))
 
 
