@@ -34,7 +34,8 @@ def fits(df: DataFrame, max_rows: int) -> bool:
 def _slices(df: DataFrame, order: str, parts: int) -> DataFrame:
     """Tag rows with a slice number that grows with ``order`` (equi-depth cut points)."""
     cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).scalar()
-    return df.withColumn("_slice", F.size(F.filter(cuts, lambda c: c < F.col(order))))
+    below = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
+    return df.withColumn("_cuts", cuts).withColumn("_slice", F.coalesce(below, F.lit(0))).drop("_cuts")
 
 
 def running_totals(df: DataFrame, group: list[str], order: str, values: list[str], parts: int = 32,

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..constants import AGE_OPTIONS, INSURANCE_OPTIONS, PROVIDER_FLAGS, URGENCY_OPTIONS
 from ..functions import text as tx
 from ..operators.turning_point import LabelRules, label_users
 
@@ -42,10 +43,11 @@ def row_count(df: DataFrame):
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:
     """Events as posts; the body is the whole text of a document."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    source = table(spark, sf, "documents").select("doc_id", "text")
+    docs = widen(source, "doc_id")
     ev = widen(table(spark, sf, "events"), "event_id")
     v = F.col("value")
-    return (ev.withColumn("doc_id", F.pmod("event_id", row_count(docs))).join(docs, "doc_id")
+    return (ev.withColumn("doc_id", F.pmod("event_id", row_count(source))).join(docs, "doc_id")
             .select(F.concat(F.lit("u"), "user_id").alias("author"), F.concat(F.lit("e"), "event_id").alias("id"),
                     F.col("ts").alias("created_utc"), F.col("event_type").alias("subreddit"),
                     F.concat("event_type", F.when(v > 200, " extreme").when(v > 120, " severe").otherwise("")).alias("title"),
@@ -96,6 +98,48 @@ def post_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return ev.join(emb, "vec_id").select(F.concat(F.lit("e"), "event_id").alias("id"), "embedding")
 
 
+def scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled class scores ``(id, label, fold, class, score)`` with many ties, from events."""
+    ev = widen(table(spark, sf, "events").select("event_id", "event_type", "value"), "event_id")
+    cents = F.round(F.col("value") * 100).cast("long")
+    label = (F.when(F.col("event_type") == "error", "crisis").when(F.col("event_type") == "purchase", "recovery")
+             .otherwise("neither"))
+    k = F.col("event_id")
+    return ev.select(k.alias("id"), label.alias("label"), (k % 5).alias("fold"), cents.alias("cents"),
+                     F.expr("stack(3, 'crisis', 7, 'recovery', 11, 'neither', 3) as (class, m)")).select(
+        "id", "label", "fold", "class", (((F.col("cents") + F.when(F.col("label") == F.col("class"), 60).otherwise(0))
+                                          * F.col("m")) % 997 / 1000.0).alias("score"))
+
+
+def interactions(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as flat interactions with a label and a predicted score."""
+    from ..operators.match import labelled
+    e = F.col("event_id")
+    ins = F.array(*[F.lit(x) for x in INSURANCE_OPTIONS])
+    ages = F.array(*[F.lit(x) for x in AGE_OPTIONS])
+    urg = F.array(*[F.lit(x) for x in URGENCY_OPTIONS])
+    kind = (F.when(F.col("event_type") == "view", "view").when(F.col("event_type") == "click", "website")
+            .when(F.col("event_type") == "purchase", "call").when(F.col("event_type") == "signup", "rate").otherwise("view"))
+    ev = widen(table(spark, sf, "events").select("event_id", "event_type", "user_id", "value", "ts"), "event_id")
+    flags = {n: e % k == 0 for n, k in zip(("insuranceMatch", "insurancePartial", "ageMatch", "telehealthMatch",
+                                            "languageMatch", "genderMatch"), (2, 3, 5, 7, 11, 13))}
+    return labelled(ev.select(
+        e.alias("id"), F.col("user_id").alias("group"), "ts", kind.alias("type"), F.floor("value").alias("score"),
+        F.when(kind == "rate", 1 + F.floor("value") % 5).alias("rating"),
+        F.pmod(e, row_count(table(spark, sf, "supplier"))).alias("provider_id"),
+        F.element_at(ins, (e % 8 + 1).cast("int")).alias("insurance"), F.element_at(ages, (e % 4 + 1).cast("int")).alias("age_group"),
+        F.element_at(urg, (F.floor(e / 8) % 4 + 1).cast("int")).alias("urgency"),
+        *[c.alias(n) for n, c in flags.items()], ((e % 5) / 4).alias("concernsOverlap"), ((e % 4) / 3).alias("modalityOverlap"),
+        ((e % 3) / 2).alias("culturalOverlap"), (F.col("value") / 500).alias("p"))
+        .withColumn("insurance_given", F.col("insurance")).withColumn("urgency_given", F.col("urgency")))
+
+
+def providers(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "supplier")
+    return s.select(F.col("s_suppkey").alias("provider_id"),
+                    *[(F.col("s_nationkey") % k == 0).alias(n) for n, k in zip(PROVIDER_FLAGS, range(2, 11))])
+
+
 # ---------------------------------------------------------------- SQL side
 POSTS = """posts AS (
   SELECT concat('u', user_id) AS author, concat('e', event_id) AS id, ts AS created_utc, event_type AS subreddit,
@@ -175,3 +219,21 @@ facts AS (
          coalesce(list_sum(list_transform(tokens, lambda t: length(t) % 9 - 4)), 0)::DOUBLE AS val
   FROM toks),
 scored AS (SELECT *, val / sqrt(val * val + 15.0) AS sentiment FROM facts)"""
+
+
+SCORES = """sc0 AS (SELECT event_id AS id, CASE event_type WHEN 'error' THEN 'crisis' WHEN 'purchase' THEN 'recovery' ELSE 'neither' END AS label,
+  event_id % 5 AS fold, CAST(round(value * 100) AS BIGINT) AS cents FROM events),
+scores AS (SELECT id, label, fold, c.cls AS "class", (((cents + CASE WHEN label = c.cls THEN 60 ELSE 0 END) * c.m) % 997) / 1000.0::DOUBLE AS score
+  FROM sc0, (VALUES ('crisis', 7), ('recovery', 11), ('neither', 3)) c(cls, m)),
+preds AS (SELECT id, label, fold, arg_min("class", (-score, "class")) AS prediction FROM scores GROUP BY ALL)"""
+
+_LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+
+INTERACTIONS = f"""ix0 AS (SELECT event_id AS id, user_id AS grp, ts, value,
+  CASE event_type WHEN 'view' THEN 'view' WHEN 'click' THEN 'website' WHEN 'purchase' THEN 'call' WHEN 'signup' THEN 'rate' ELSE 'view' END AS type,
+  CAST(floor(value) AS BIGINT) AS score, event_id % (SELECT count(*) FROM supplier) AS provider_id,
+  ({_LIST(INSURANCE_OPTIONS)})[event_id % 8 + 1] AS insurance, ({_LIST(AGE_OPTIONS)})[event_id % 4 + 1] AS age_group,
+  ({_LIST(URGENCY_OPTIONS)})[(event_id // 8) % 4 + 1] AS urgency, value / 500 AS p FROM events),
+ix1 AS (SELECT *, CASE WHEN type = 'rate' THEN 1 + score % 5 END AS rating FROM ix0),
+ix AS (SELECT *, CASE WHEN rating IS NOT NULL THEN (rating - 1) / 4.0 WHEN type = 'call' THEN 1.0 WHEN type = 'website' THEN 0.6 ELSE 0.3 END::DOUBLE AS y FROM ix1),
+prov AS (SELECT s_suppkey AS provider_id, {', '.join(f"s_nationkey % {k} = 0 AS {n}" for n, k in zip(PROVIDER_FLAGS, range(2, 11)))} FROM supplier)"""
