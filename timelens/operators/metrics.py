@@ -207,6 +207,11 @@ def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*aggs).select(F.expr(f"stack({len(columns)}, {pieces}) as (feature, mean, std, n)"))
 
 
+def calibration(df: DataFrame, deviation: str) -> DataFrame:
+    """Mean and population deviation of the predictive deviations."""
+    return df.agg(F.avg(deviation).alias("mean_std"), F.stddev_pop(deviation).alias("std_of_std"))
+
+
 def argmax_class(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Class with the highest score per row; ties go to the first class name."""
     order = F.struct(F.negative("score").alias("s"), F.col("class"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["timeline", "sources_q", "reports_q", "series_q", "metrics_q"]
+MODULES = ["timeline", "sources_q", "reports_q", "series_q", "metrics_q", "learn_q"]
 
 
 def load_all() -> None:
