@@ -19,9 +19,9 @@ from .models import Fit, resolve
 def out_of_fold(data: DataFrame, features: list[str], fit: Fit, seed: int = SEED, folds: int = FOLDS, key: str = "author") -> DataFrame:
     """Long ``(key, label, fold, class, score)``; every row is scored by a model that has not seen it.
 
-    ``data`` is read once a fold, so callers pass a materialised table.
+    Models read their input many times, so rows and folds are written out once first.
     """
-    folded = data.join(assign_folds(data, key, "label", seed, folds), key)
+    folded = materialize(data.join(assign_folds(data, key, "label", seed, folds), key), "folded")
     parts = []
     for k in range(folds):
         score = fit(folded.filter(F.col("fold") != k), features)

@@ -29,7 +29,8 @@ def replicates(rows: DataFrame, key: str, n_boot: int, seed: int = SEED) -> Data
     """Rows repeated per replicate with multiplicity ``w``; zero draws are dropped at once."""
     spread = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     u = seeded_uniform(F.col(key), F.concat_ws("-", F.col("replicate"), F.lit(str(seed))))
-    return spread.withColumn("w", poisson_one(u)).filter("w > 0")
+    drawn = spread.withColumn("_u", u).filter(F.col("_u") >= math.exp(-1.0))
+    return drawn.withColumn("w", poisson_one(F.col("_u"))).drop("_u")
 
 
 def summary(values: DataFrame, cols: list[str], group: list[str] | None = None) -> DataFrame:

@@ -220,8 +220,8 @@ GM = [f"late_night_rate_{w}" for w in PRE_WINDOWS]
 @query("bootstrap_group_means", "M18", f"""WITH {POSTS}, {LABELS_SQL}, x AS {TSQL},
 l AS (SELECT label, author, f.w AS feature, CASE f.w {' '.join(f"WHEN '{c}' THEN {c}" for c in GM)} END AS val FROM x JOIN labels_t USING (author), (VALUES {', '.join(f"('{c}')" for c in GM)}) f(w)),
 r AS (SELECT *, {poisson_sql('author', 'replicate', 42)} AS k FROM (SELECT l.*, range AS replicate FROM l, range({B}) WHERE val IS NOT NULL)),
-m AS (SELECT label, feature, replicate, sum(k * val) / sum(k) AS m FROM r WHERE k > 0 GROUP BY 1, 2, 3),
-ci AS (SELECT label, feature, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1, 2)
+gm AS (SELECT label, feature, replicate, sum(k * val) / sum(k) AS gmean FROM r WHERE k > 0 GROUP BY 1, 2, 3),
+ci AS (SELECT label, feature, quantile_cont(gmean, 0.025) AS low, quantile_cont(gmean, 0.975) AS high FROM gm GROUP BY 1, 2)
 SELECT label, feature, count(val) AS n, avg(val) AS mean, CASE WHEN count(val) < 2 THEN avg(val) ELSE any_value(low) END AS low,
   CASE WHEN count(val) < 2 THEN avg(val) ELSE any_value(high) END AS high FROM l LEFT JOIN ci USING (label, feature) WHERE val IS NOT NULL GROUP BY 1, 2""", "mean low high")
 def q_groupci(spark, sf):
@@ -256,14 +256,14 @@ def q_tfidf(spark, sf):
 # ------------------------------------------------------------------ encoder
 @query("encoded_posts", "M25 U6", f"""WITH {POSTS}, t AS (SELECT id, lower(coalesce(title,'') || ' ' || coalesce(body,'')) AS text FROM posts),
 c AS (SELECT id, i.i AS dim, length(text) - length(replace(text, chr(97 + i.i::INTEGER), '')) AS n FROM t, range(26) i(i))
-SELECT id, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 4) AS x FROM c""", "x")
+SELECT id, dim, CAST(n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS FLOAT) AS x FROM c""", "x")
 def q_encode(spark, sf):
     """Posts without a cached vector are encoded; the cache holds the posts below a score of 20."""
     posts = v.posts(spark, sf)
     cached = encode.encode_posts(posts.filter("score < 20"))
     out = encode.encode_missing(posts, cached, encode.first_available([_missing_model, encode.letter_encoder]))
     return out.select("id", F.posexplode("embedding").alias("dim", "x")).select(
-        "id", F.col("dim").cast("long").alias("dim"), F.round(F.col("x").cast("double"), 4).alias("x"))
+        "id", F.col("dim").cast("long").alias("dim"), F.col("x").cast("double").alias("x"))
 
 
 def _missing_model():
