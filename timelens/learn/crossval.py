@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +21,18 @@ from .models import Fit, resolve
 def out_of_fold(data: DataFrame, features: list[str], fit: Fit, seed: int = SEED, folds: int = FOLDS, key: str = "author") -> DataFrame:
     """Long ``(key, label, fold, class, score)``; every row is scored by a model that has not seen it.
 
-    Models read their input many times, so rows and folds are written out once first.
+    Models read their input many times, so rows and folds are written out once first. The
+    folds are independent Spark jobs and are submitted together.
     """
     folded = materialize(data.join(assign_folds(data, key, "label", seed, folds), key), "folded")
-    parts = []
-    for k in range(folds):
+
+    @inheritable_thread_target(data.sparkSession)
+    def one(k: int) -> DataFrame:
         score = fit(folded.filter(F.col("fold") != k), features)
-        parts.append(score(folded.filter(F.col("fold") == k), [key, "label", "fold"]))
+        return score(folded.filter(F.col("fold") == k), [key, "label", "fold"])
+
+    with ThreadPoolExecutor(folds) as pool:
+        parts = list(pool.map(one, range(folds)))
     proba = reduce(lambda a, b: a.unionByName(b), parts)
     names = F.array(*[F.lit(c) for c in CLASSES])
     return (proba.select(key, "label", "fold", F.posexplode("proba").alias("i", "score"))
