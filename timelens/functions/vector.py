@@ -27,5 +27,7 @@ def l2_distance(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column, guard: float = 0.0) -> Column:
-    size = norm(a) + F.lit(guard)
-    return F.transform(a, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(0.0))
+    """Scaled to length one; a zero vector stays zero. The length is bound once per vector."""
+    def scale(size: Column) -> Column:
+        return F.transform(a, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(0.0))
+    return F.element_at(F.transform(F.array(norm(a) + F.lit(guard)), scale), 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,10 @@ from ..functions import text as tx
 from ..functions.skew import first_n_per_key, salted_join
 
 
+# A body that is only a deleted marker and white space.
+DELETED_BODY = r"(?U)\A\s*(?:" + "|".join(re.escape(m) for m in DELETED_MARKERS) + r")\s*\z"
+
+
 def parse_time(col: str | Column) -> Column:
     """Lenient timestamp: text that does not parse becomes null."""
     c = F.col(col) if isinstance(col, str) else col
@@ -18,10 +24,9 @@ def parse_time(col: str | Column) -> Column:
 
 def clean_posts(posts: DataFrame) -> DataFrame:
     """Keep posts with an author, a time and a body that is neither blank nor a deleted marker."""
-    body = tx.strip("body")
     return (posts.dropna(subset=["author", "body", "created_utc"])
             .filter(~F.col("author").isin(DELETED_MARKERS))
-            .filter((F.length(body) > 0) & ~body.isin(DELETED_MARKERS)))
+            .filter(F.col("body").rlike(r"(?U)\S") & ~F.col("body").rlike(DELETED_BODY)))
 
 
 def active_authors(posts: DataFrame, min_posts: int = MIN_POSTS) -> DataFrame:

@@ -20,33 +20,29 @@ def post_tokens(posts: DataFrame, *keep: str) -> DataFrame:
             .withColumn("tokens", tx.tokens("text")))
 
 
-def post_sentiment(tokenised: DataFrame, lexicon: DataFrame, keep: list[str]) -> DataFrame:
-    """Sum token valences per post and squash them to [-1, 1].
+def token_sums(tokenised: DataFrame, lexicon: DataFrame, keep: list[str], vocabularies: dict[str, list[str]]) -> DataFrame:
+    """Token count, hits per vocabulary and lexicon sentiment per post.
 
     Tokens are exploded next to a broadcast lexicon and summed in the same task before the
-    shuffle, so one row per post moves. A lexicon too large to broadcast is joined by token,
-    salted over its hot tokens.
+    shuffle, so one row per post moves. Vocabulary tests run in generated code there. A
+    lexicon too large to broadcast is joined by token, salted over its hot tokens.
     """
     lex = lexicon.select(F.col("word").alias("token"), "valence")
     side = broadcast_within(lex, LEXICON_BROADCAST_ROWS)
     exploded = tokenised.select(*keep, F.explode_outer("tokens").alias("token"))
     scored = (exploded.join(side, "token", "left") if side is not lex
               else salted_join(exploded, lex, ["token"], "id", "left"))
-    return (scored.groupBy(*keep)
-            .agg(tx.compound(F.coalesce(F.sum("valence"), F.lit(0)).cast("double")).alias("sentiment")))
+    hits = [F.count(F.when(F.col("token").isin(list(words)), 1)).alias(name) for name, words in vocabularies.items()]
+    return scored.groupBy(*keep).agg(
+        F.count("token").alias("n_tokens"), *hits,
+        tx.compound(F.coalesce(F.sum("valence"), F.lit(0)).cast("double")).alias("sentiment"))
 
 
 def post_facts(posts: DataFrame, lexicon: DataFrame, first_person=FIRST_PERSON, negative=NEGATIVE_WORDS) -> DataFrame:
     """One slim row per post with every number the linguistic windows need; the text is dropped."""
-    t = F.col("tokens")
-    keep = ["author", "id", "created_utc", "n_tokens", "n_first", "n_negative", "sent_len"]
-    facts = (post_tokens(posts)
-             .withColumn("n_tokens", F.size(t))
-             .withColumn("n_first", tx.hits(t, first_person))
-             .withColumn("n_negative", tx.hits(t, negative))
-             .withColumn("sent_len", tx.avg_sentence_length("text"))
-             .select(*keep, "tokens"))
-    return post_sentiment(facts, lexicon, keep)
+    keep = ["author", "id", "created_utc", "sent_len"]
+    facts = post_tokens(posts).withColumn("sent_len", tx.avg_sentence_length("text")).select(*keep, "tokens")
+    return token_sums(facts, lexicon, keep, {"n_first": first_person, "n_negative": negative})
 
 
 def window_frequency(n: Column, first: Column, last: Column, window: str, unit_days: int) -> Column:

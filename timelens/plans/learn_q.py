@@ -18,15 +18,7 @@ from .timeline import STY, TEMP, delta_cols, deltas_sql, window_cols
 from .views import INTERACTIONS, LABELS as LABELS_SQL
 from .views import POSTS, SCORES
 
-_TABLES: dict = {}
-
-
-def once(spark, sf, name, make):
-    """Materialise a table once per session and input so that every fit reads files."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _TABLES:
-        _TABLES[key] = materialize(make(), name)
-    return _TABLES[key]
+once = v.once
 
 
 def user_matrix(spark, sf):

@@ -185,7 +185,7 @@ def q_days(spark, sf):
 @query("low_confidence_flag", "B12", f"""WITH {POSTS}, {LABELS}
 SELECT author, tp_matched_phrase, low_confidence FROM labels_t""")
 def q_low(spark, sf):
-    return v.labels(spark, sf).select("author", "tp_matched_phrase", "low_confidence")
+    return v.label_table(spark, sf).select("author", "tp_matched_phrase", "low_confidence")
 
 
 # ------------------------------------------------------------------ labelling
@@ -206,13 +206,13 @@ def q_first(spark, sf):
 @query("user_labels", "D4 D5 D6 B4", f"""WITH {POSTS}, {LABELS}
 SELECT author, label, n_posts, tp_post_id, tp_date, tp_subreddit, tp_matched_phrase, low_confidence FROM labels_t""")
 def q_labels(spark, sf):
-    return v.labels(spark, sf).drop("first_ts", "last_ts", "anchor")
+    return v.label_table(spark, sf).drop("first_ts", "last_ts", "anchor")
 
 
 # ------------------------------------------------------------------ linguistic family
 @query("post_facts", "H1 H3 H7 H10 H11 D9", f"""WITH {POSTS}, {FACTS}
-SELECT author, id, created_utc, CAST(n_tokens AS INTEGER) AS n_tokens, CAST(n_first AS INTEGER) AS n_first,
-       CAST(n_negative AS INTEGER) AS n_negative, sent_len, sentiment FROM scored""", "sent_len sentiment")
+SELECT author, id, created_utc, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(n_first AS BIGINT) AS n_first,
+       CAST(n_negative AS BIGINT) AS n_negative, sent_len, sentiment FROM scored""", "sent_len sentiment")
 def q_facts(spark, sf):
     return linguistic.post_facts(v.posts(spark, sf), v.lexicon(spark, sf), v.FIRST, v.NEGATIVE)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..constants import AGE_OPTIONS, INSURANCE_OPTIONS, PROVIDER_FLAGS, URGENCY_OPTIONS
 from ..functions import text as tx
 from ..operators.turning_point import LabelRules, label_users
+from ..session import materialize
 
 UNIT = 1
 RULES = LabelRules(crisis=["error severe", "error extreme"], recovery=["purchase severe", "purchase extreme"],
@@ -54,10 +55,29 @@ def posts(spark: SparkSession, sf: str) -> DataFrame:
                     F.col("text").alias("body"), F.floor("value").alias("score")))
 
 
-def labels(spark: SparkSession, sf: str) -> DataFrame:
+_TABLES: dict = {}
+
+
+def once(spark: SparkSession, sf: str, name: str, make) -> DataFrame:
+    """A table written once per session and input, then read by every later job.
+
+    Spark then knows its real size and broadcasts it only when that is small.
+    """
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _TABLES:
+        _TABLES[key] = materialize(make(), name)
+    return _TABLES[key]
+
+
+def label_table(spark: SparkSession, sf: str) -> DataFrame:
     return label_users(posts(spark, sf), RULES)
 
 
+def labels(spark: SparkSession, sf: str) -> DataFrame:
+    """The label table as the feature jobs see it: the written result of the labelling job."""
+    return once(spark, sf, "labels", lambda: label_table(spark, sf))
+
+
 def dirty_posts(spark: SparkSession, sf: str) -> DataFrame:
     n = F.substring("id", 2, 20).cast("long")
     return (posts(spark, sf)
@@ -83,7 +103,11 @@ def conversation_posts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lexicon(spark: SparkSession, sf: str) -> DataFrame:
-    """Token valence by rule: ``length % 9 - 4``, zero left out."""
+    """Token valence by rule: ``length % 9 - 4``, zero left out; written once."""
+    return once(spark, sf, "lexicon", lambda: lexicon_table(spark, sf))
+
+
+def lexicon_table(spark: SparkSession, sf: str) -> DataFrame:
     docs = widen(table(spark, sf, "documents"), "doc_id").select(F.explode(tx.tokens("text")).alias("word"))
     kinds = table(spark, sf, "events").select(F.explode(tx.tokens("event_type")).alias("word"))
     extra = spark.createDataFrame([("severe",), ("extreme",)], "word string")
