@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..constants import BASE_FEATURES, PROVIDER_FLAGS
 from ..functions import scalar as sc
-from ..functions.skew import fits
+from ..functions.skew import fits, salted_join
 
-MAX_CATALOG = 100_000
+MAX_CATALOG = 20_000
 
 
 def with_provider(interactions: DataFrame, providers: DataFrame) -> DataFrame:
@@ -24,17 +24,23 @@ def with_provider(interactions: DataFrame, providers: DataFrame) -> DataFrame:
     return joined.select(*interactions.columns, *[F.coalesce(c, F.lit(False)).alias(c) for c in PROVIDER_FLAGS])
 
 
-def requests_by_providers(requests: DataFrame, providers: DataFrame) -> DataFrame:
-    """Every request next to every provider of the catalog.
+def requests_by_providers(requests: DataFrame, providers: DataFrame, limit: int = MAX_CATALOG) -> DataFrame:
+    """Every request next to every provider of the catalog, as column ``p``.
 
-    Scoring each request against the whole catalog is the operator's meaning. The catalog is a
-    short list: it is packed into one array literal row, checked against ``MAX_CATALOG``, and
-    exploded beside each request, so requests are never shuffled or paired with each other.
+    Scoring each request against the whole catalog is the operator's meaning. A catalog of at
+    most ``limit`` providers is packed into one array and exploded beside each request, with no
+    shuffle. A larger one is packed in chunks of about that size, and each request meets every
+    chunk once through a salted join on the chunk number.
     """
-    if not fits(providers, MAX_CATALOG):
-        raise ValueError(f"catalog exceeds {MAX_CATALOG} providers; score it in parts")
-    catalog = providers.agg(F.collect_list(F.struct(*providers.columns))).scalar()
-    return requests.select("*", F.explode(catalog).alias("p"))
+    packed = F.collect_list(F.struct(*providers.columns))
+    if fits(providers, limit):
+        return requests.select("*", F.explode(providers.agg(packed).scalar()).alias("p"))
+    chunks = -(-providers.count() // limit)
+    number = F.pmod(F.xxhash64(providers.columns[0]), F.lit(chunks)).cast("int")
+    lists = providers.withColumn("_chunk", number).groupBy("_chunk").agg(packed.alias("_list"))
+    spread = requests.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    joined = salted_join(spread, lists, ["_chunk"], requests.columns[0])
+    return joined.select(*requests.columns, F.explode("_list").alias("p"))
 
 
 def rule_score(f: dict[str, Column], p: dict[str, Column]) -> Column:
