@@ -9,4 +9,6 @@ MODULES = ["topk", "warc", "langid", "licenses", "bpe", "packing", "fingerprints
 for _name in MODULES:
     import_module(f"{__package__}.{_name}")
 
+import_module("corpus_pipeline")
+
 __all__ = ["ORACLES", "QUERIES"]
