@@ -123,7 +123,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_cols: list[s
     ``und`` with score 0 if the text is null, holds no letter, or nothing was learned. Ties go to the first name in
     alphabetical order. Repeated rows give repeated results. Other columns are dropped. Whole texts are read.
     """
-    names, unit = list(prototypes), np.array([v / max(np.linalg.norm(v), 1e-9) for v in prototypes.values()]).reshape(len(prototypes), -1)
+    names, unit = list(prototypes), np.array([v / max(np.linalg.norm(v), 1e-9) for v in prototypes.values()]).reshape(len(prototypes), DIM)
 
     def run(batches):
         for batch in batches:
@@ -139,7 +139,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_cols: list[s
 
 def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", min_score: float = 0.0) -> DataFrame:
     """Rows of ``docs``, all columns, whose text has a language with a cosine above ``min_score``; ``und`` goes."""
-    names, unit = list(prototypes), np.array([v / max(np.linalg.norm(v), 1e-9) for v in prototypes.values()]).reshape(len(prototypes), -1)
+    names, unit = list(prototypes), np.array([v / max(np.linalg.norm(v), 1e-9) for v in prototypes.values()]).reshape(len(prototypes), DIM)
     at = docs.columns.index(text_col)
 
     def run(batches):

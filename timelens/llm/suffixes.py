@@ -163,7 +163,10 @@ def repeated(parts: list[bytes], length: int) -> list[np.ndarray]:
     words = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
     # Common prefixes of neighbours: pairs stay while they agree, eight bytes at a time.
     left = np.arange(max(0, len(order) - 1))
-    for at in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
+    places = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
+    if length < 8:
+        words, places = text, range(length)
+    for at in places:
         left = left[words[order[left] + at] == words[order[left + 1] + at]]
     flag = np.zeros(len(raw), bool)
     flag[order[left]] = flag[order[left + 1]] = True
