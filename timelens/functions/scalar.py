@@ -39,9 +39,26 @@ def engagement(kind: Column, rating: Column) -> Column:
     return F.when(rating.isNotNull(), (rating.cast("double") - 1.0) / 4.0).otherwise(by_type)
 
 
-def pair_gradient(y_hi: Column, y_lo: Column, s_hi: Column, s_lo: Column, sigma: float = 1.0) -> Column:
-    """Ranking gradient of one ordered pair with ``y_hi > y_lo``."""
-    return -sigma * (1.0 / (1.0 + F.exp(sigma * (s_hi - s_lo)))) * F.abs(y_hi - y_lo)
+def number(text: Column) -> Column:
+    """A number from its JSON text or from text; null if it is none (or not finite)."""
+    x = text.try_cast("double")
+    return F.when(F.abs(x) < float("inf"), x)
+
+
+def whole(text: Column) -> Column:
+    """A whole number from number text, fractions cut off; exact for whole text of any size."""
+    return F.coalesce(text.try_cast("bigint"), number(text).try_cast("bigint"))
+
+
+def truthy(text: Column) -> Column:
+    """A flag from its JSON text: false, zero, empty and missing values are false."""
+    return F.coalesce(~F.lower(text).isin("", "false", "null", "[]", "{}") & (F.coalesce(number(text), F.lit(1.0)) != 0), F.lit(False))
+
+
+def joined(text: Column, sep: str = ", ") -> Column:
+    """A list's members joined, from the JSON text of a list; other text stays as it is."""
+    members = F.from_json(text, "array<string>")
+    return F.when(text.startswith("["), F.coalesce(F.array_join(members, sep), text)).otherwise(text)
 
 
 def cross_features() -> list[Column]:

@@ -36,6 +36,13 @@ def seconds_to_ntz(seconds: Column) -> Column:
     return F.timestamp_seconds(seconds).cast("timestamp_ntz")
 
 
+def epoch_text_to_ntz(text: Column) -> Column:
+    """Epoch seconds given as text, with a fraction or without; null if they are no time of the years 1 to 9999."""
+    micros = F.round(text.try_cast("decimal(30,9)") * F.lit(1_000_000)).try_cast("bigint")
+    micros = F.coalesce(micros, F.round(text.try_cast("double") * F.lit(1e6)).try_cast("bigint"))
+    return F.timestamp_micros(F.when(micros.between(-62_135_596_800_000_000, 253_402_300_799_999_999), micros)).cast("timestamp_ntz")
+
+
 def week_start(ts: Column, start_day: int = 1) -> Column:
     """Start of the 7-day bucket; ``start_day`` 0 is Monday, 1 Tuesday (the default)."""
     shift = F.make_dt_interval(F.lit(start_day))

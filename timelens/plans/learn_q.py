@@ -335,9 +335,10 @@ COLLECT = f"WITH {POSTS} SELECT author, id, created_utc FROM posts"
 
 
 def landed_twice(spark, sf, root):
-    """Posts landed in files, many of them in two files."""
+    """Posts landed in files, many of them in two files, new ones before old ones."""
     posts = v.posts(spark, sf).select("author", "id", "created_utc")
-    posts.write.mode("overwrite").parquet(f"{root}/in")
+    # Files are out of order in time: each holds ids of all days.
+    posts.repartition(8, "id").write.mode("overwrite").parquet(f"{root}/in")
     posts.filter(F.pmod(F.xxhash64("id"), F.lit(3)) == 0).write.mode("append").parquet(f"{root}/in")
     return spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
 
@@ -352,7 +353,7 @@ def q_collect(spark, sf):
 @query("stream_collect_watermark", "S2", COLLECT)
 def q_watermark(spark, sf):
     root = shared_dir(spark, "dedup")
-    ingest.collect_stream(landed_twice(spark, sf, root), f"{root}/out", f"{root}/chk", delay="60 days").awaitTermination()
+    ingest.collect_stream(landed_twice(spark, sf, root), f"{root}/out", f"{root}/chk").awaitTermination()
     return spark.read.parquet(f"{root}/out").select("author", "id", "created_utc")
 
 

@@ -42,29 +42,44 @@ def q_append(spark, sf):
     return tables.append_keep_first(have, twice, "id", [F.col("created_utc"), F.col("title")])
 
 
+def with_members(json, **tokens):
+    """``json`` (text of an object) with more members, whose values are JSON text; a null token adds nothing."""
+    more = [F.concat(F.lit(f',"{name}":'), token) for name, token in tokens.items()]
+    return F.concat(F.expr("substring({0}, 1, length({0}) - 1)".format(json)), F.concat_ws("", *more), F.lit("}"))
+
+
+def spelled(text, how):
+    """Number text as a JSON number or, where ``how`` holds, as a JSON string."""
+    return F.when(how, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(text)
+
+
 def interaction_json(spark, sf):
-    """Events as nested interaction payloads; some members are left out."""
+    """Events as nested interaction payloads: members left out, fractional numbers, numbers as text, lists as plain text."""
     e = F.col("event_id")
     ins = F.array(*[F.lit(x) for x in ("medicaid", "medicare", "bcbs", "cigna", "aetna", "uhc", "uninsured", "sliding_scale")])
     ages = F.array(*[F.lit(x) for x in ("child", "teen", "adult", "senior")])
     urg = F.array(*[F.lit(x) for x in ("crisis", "urgent", "routine", "exploring")])
-    filters = F.struct(
+    filters = F.to_json(F.struct(
         F.when(e % 9 != 0, F.element_at(ins, (e % 8 + 1).cast("int"))).alias("insurance"),
         F.element_at(ages, (e % 4 + 1).cast("int")).alias("ageGroup"),
-        F.when(e % 10 != 0, F.element_at(urg, ((F.floor(e / 8)) % 4 + 1).cast("int"))).alias("urgency"),
-        F.when(e % 3 == 0, F.array(F.lit("anxiety"), F.lit("grief"))).when(e % 3 == 1, F.array(F.lit("ocd"))).alias("concerns"))
-    return v.table(spark, sf, "events").select(
-        "event_id",
-        F.to_json(F.struct(
-            F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.col("event_type").alias("type"),
-            F.concat(F.lit("p"), e % 100).alias("providerId"), F.floor("value").alias("score"),
-            F.when(F.col("event_type") == "signup", 1 + F.floor("value") % 5).alias("rating"),
-            F.when(e % 5 != 0, e % 2 == 0).alias("insuranceMatch"),
-            F.when(e % 7 != 0, (e % 5) / 4).alias("concernsOverlap"), filters.alias("filters"))).alias("value"))
+        F.when(e % 10 != 0, F.element_at(urg, ((F.floor(e / 8)) % 4 + 1).cast("int"))).alias("urgency")))
+    concerns = (F.when(e % 6 == 0, '"anxiety, grief"').when(e % 3 == 0, '["anxiety","grief"]').when(e % 6 == 1, '"ocd"').when(e % 3 == 1, '["ocd"]'))
+    rest = F.to_json(F.struct(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.col("event_type").alias("type"),
+        F.concat(F.lit("p"), e % 100).alias("providerId"), F.when(e % 5 != 0, e % 2 == 0).alias("insuranceMatch")))
+    half = F.when(e % 2 == 0, 0.5).otherwise(0.0)
+    score = (F.floor("value") + half).cast("string")
+    rating = F.when(F.col("event_type") == "signup", (1 + F.floor("value") % 4 + half).cast("string"))
+    overlap = F.when(e % 7 != 0, ((e % 5) / 4).cast("string"))
+    raw = v.table(spark, sf, "events").withColumn("_filters", filters).withColumn("_rest", rest)
+    value = with_members("_rest", score=spelled(score, e % 3 == 0), rating=spelled(rating, e % 4 == 1), concernsOverlap=spelled(overlap, e % 8 == 3),
+                         filters=with_members("_filters", concerns=concerns))
+    return raw.select("event_id", value.alias("value"))
 
 
 INTER = """inter AS (SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_type AS type, concat('p', event_id % 100) AS pid,
-  CAST(floor(value) AS BIGINT) AS score, CASE WHEN event_type = 'signup' THEN 1 + CAST(floor(value) AS BIGINT) % 5 END AS rating,
+  floor(value) + CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE 0.0 END AS score,
+  CASE WHEN event_type = 'signup' THEN 1.0::DOUBLE + CAST(floor(value) AS BIGINT) % 4 + CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE 0.0 END END AS rating,
   CASE WHEN event_id % 5 <> 0 THEN event_id % 2 = 0 END AS im, CASE WHEN event_id % 7 <> 0 THEN (event_id % 5) / 4.0 END AS co,
   CASE WHEN event_id % 9 <> 0 THEN ['medicaid','medicare','bcbs','cigna','aetna','uhc','uninsured','sliding_scale'][event_id % 8 + 1] END AS ins,
   ['child','teen','adult','senior'][event_id % 4 + 1] AS age,
@@ -75,7 +90,7 @@ INTER = """inter AS (SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, e
 @query("interactions_json_scan", "A4 H20", f"""WITH {INTER}
 SELECT ts, type, pid AS provider_id, score, rating, coalesce(im, false) AS insurance_match, coalesce(co, 0.5) AS concerns_overlap,
   0.5 AS modality_overlap, coalesce(ins, 'any') AS insurance, age AS age_group, coalesce(urg, 'exploring') AS urgency FROM inter""",
-       "concerns_overlap modality_overlap")
+       "score rating concerns_overlap modality_overlap")
 def q_json(spark, sf):
     path = shared_dir(spark, "interactions")
     interaction_json(spark, sf).select("value").write.mode("overwrite").text(path)
@@ -86,7 +101,7 @@ def q_json(spark, sf):
 
 
 @query("interactions_flat", "A10", f"""WITH {INTER}
-SELECT ts AS "timestamp", type, pid AS provider_id, coalesce(CAST(rating AS VARCHAR), '') AS rating, CAST(score AS VARCHAR) AS score,
+SELECT ts AS "timestamp", type, pid AS provider_id, coalesce(CAST(CAST(rating AS DOUBLE) AS VARCHAR), '') AS rating, CAST(CAST(score AS DOUBLE) AS VARCHAR) AS score,
   '' AS zip, coalesce(ins, '') AS insurance, age AS "ageGroup", '' AS telehealth, coalesce(urg, '') AS urgency, '' AS "sessionFormat",
   '' AS language, '' AS "providerGender", concerns, '' AS modalities, '' AS cultural, '' AS accessibility, true AS has_raw FROM inter""")
 def q_flat(spark, sf):
@@ -94,49 +109,83 @@ def q_flat(spark, sf):
     return flat.withColumn("has_raw", F.length("raw_json") > 0).drop("raw_json")
 
 
+LANDED_TIME = """CASE WHEN event_id % 11 = 0 THEN TIMESTAMP '1970-01-01' WHEN event_id % 5 = 4 THEN NULL
+  WHEN event_id % 5 = 3 THEN date_trunc('second', created_utc) + INTERVAL 500 MILLISECOND ELSE date_trunc('second', created_utc) END"""
+
+
+def landed_time(n):
+    """Epoch seconds as a whole, fractional or text number, as junk, or left out (null)."""
+    whole = F.unix_timestamp("created_utc").cast("string")
+    token = (F.when(n % 5 == 0, whole).when(n % 5 == 1, F.concat(whole, F.lit(".0"))).when(n % 5 == 2, F.concat(F.lit('"'), whole, F.lit('"')))
+             .when(n % 5 == 3, F.concat(F.lit('"'), whole, F.lit('.5"'))).otherwise('"soon"'))
+    return F.when(n % 11 != 0, token)
+
+
+def landed_score(n):
+    text = F.col("score").cast("string")
+    return F.when(n % 3 == 0, text).when(n % 3 == 1, F.concat(text, F.lit(".0"))).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
+
+
 @query("landed_posts", "A6 H12", f"""WITH {POSTS}
-SELECT author, CASE WHEN event_id % 17 = 0 THEN '' WHEN event_id % 4 = 0 THEN title ELSE md5(body) END AS body,
-  date_trunc('second', created_utc) AS created_utc, id, CASE WHEN event_id % 6 = 0 THEN 0 ELSE event_id % 6 END AS num_comments, score,
+SELECT author, CASE WHEN event_id % 17 = 0 THEN '' WHEN event_id % 4 = 0 THEN title ELSE body END AS body,
+  {LANDED_TIME} AS created_utc, id, CASE WHEN event_id % 6 = 0 THEN 0 ELSE event_id % 6 END AS num_comments, score,
   subreddit, CASE WHEN event_id % 4 = 0 THEN '' ELSE title END AS title,
   CASE WHEN event_id % 5 IN (0, 1) THEN NULL ELSE (event_id % 5) / 4.0 END AS upvote_ratio,
   CASE WHEN event_id % 3 = 0 THEN 'https://a/' || id WHEN event_id % 3 = 1 THEN '/r/' || id ELSE '' END AS url FROM posts""",
        "upvote_ratio")
 def q_landed(spark, sf):
-    """Half posts, half comments; deleted bodies, zero ratios and missing links included."""
+    """Half posts, half comments, whole bodies; deleted bodies, zero ratios, missing links and every spelling of numbers included."""
+    return landed.landed_posts(landed_raw(spark, sf)).drop("days_to_tp")
+
+
+def landed_raw(spark, sf):
     n = F.substring("id", 2, 20).cast("long")
     comment = n % 4 == 0
-    text = F.when(n % 17 == 0, "[deleted]").when(comment, F.col("title")).otherwise(F.md5("body"))
-    raw = v.posts(spark, sf).select(F.to_json(F.struct(
+    text = F.when(n % 17 == 0, "[deleted]").when(comment, F.col("title")).otherwise(F.col("body"))
+    rest = F.to_json(F.struct(
         "author", F.when(~comment, text).otherwise("").alias("selftext"), F.when(comment, text).alias("body"),
-        F.unix_timestamp("created_utc").alias("created_utc"), "id", F.when(n % 6 != 0, n % 6).alias("num_comments"), "score",
-        "subreddit", F.when(~comment, F.col("title")).alias("title"),
-        F.when(n % 5 == 0, 0.0).when(n % 5 > 1, (n % 5) / 4).alias("upvote_ratio"),
+        "id", F.when(n % 6 != 0, n % 6).alias("num_comments"), "subreddit", F.when(~comment, F.col("title")).alias("title"),
         F.when(n % 3 == 0, F.concat(F.lit("https://a/"), "id")).otherwise("").alias("url"),
-        F.when(n % 3 == 1, F.concat(F.lit("/r/"), "id")).alias("permalink"))).alias("value"))
-    return landed.landed_posts(raw).drop("days_to_tp")
+        F.when(n % 3 == 1, F.concat(F.lit("/r/"), "id")).alias("permalink")))
+    ratio = F.when(n % 5 == 0, "0.0").when(n % 5 > 1, ((n % 5) / 4).cast("string"))
+    value = with_members("_rest", created_utc=landed_time(n), score=landed_score(n), upvote_ratio=spelled(ratio, n % 2 == 0))
+    return v.posts(spark, sf).withColumn("_rest", rest).select(value.alias("value"))
+
+
+@query("landed_rejects", "A6", f"""WITH {POSTS}
+SELECT count(*) + count(*) FILTER (event_id % 7 = 0) AS lines, count(*) FILTER (event_id % 7 = 0) AS not_an_object,
+  count(*) FILTER (event_id % 11 <> 0 AND event_id % 5 = 4) AS bad_time FROM posts""")
+def q_landed_rejects(spark, sf):
+    """Lines that cannot be read, next to the good ones."""
+    raw = landed_raw(spark, sf)
+    n = F.substring(F.get_json_object("value", "$.id"), 2, 20).cast("long")
+    broken = raw.where(n % 7 == 0).select(F.when(n % 2 == 0, F.concat(F.lit("{oops "), "value")).otherwise(F.concat(F.lit("["), "value", F.lit("]"))).alias("value"))
+    return landed.landed_rejects(raw.unionByName(broken))
 
 
 @query("landed_blog_posts", "A7", f"""WITH {POSTS},
 b AS (SELECT *, CASE event_id % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'quote' WHEN 2 THEN 'answer' WHEN 3 THEN 'chat' ELSE 'photo' END AS kind FROM posts),
-c AS (SELECT author, id, created_utc, kind, event_id, subreddit, score,
-  CASE kind WHEN 'text' THEN CASE WHEN event_id % 15 = 0 THEN '' ELSE md5(body) END WHEN 'quote' THEN trim(title || ' ' || CASE WHEN event_id % 2 = 0 THEN 'src' ELSE '' END)
-     WHEN 'answer' THEN md5(body) WHEN 'chat' THEN title || ' ' || subreddit END AS body,
+c AS (SELECT author, id, {LANDED_TIME} AS created_utc, kind, event_id, subreddit, score,
+  CASE kind WHEN 'text' THEN CASE WHEN event_id % 15 = 0 THEN '' ELSE regexp_replace(body, '^\\s+|\\s+$', '', 'g') END
+     WHEN 'quote' THEN trim(title || ' ' || CASE WHEN event_id % 2 = 0 THEN 'src' ELSE '' END)
+     WHEN 'answer' THEN regexp_replace(body, '^\\s+|\\s+$', '', 'g') WHEN 'chat' THEN title || ' ' || subreddit END AS body,
   CASE kind WHEN 'quote' THEN '' WHEN 'answer' THEN 'why ' || subreddit WHEN 'text' THEN '' ELSE title END AS title FROM b WHERE kind <> 'photo')
-SELECT author, body, date_trunc('second', created_utc) AS created_utc, id, 0 AS num_comments, score,
+SELECT author, body, created_utc, id, 0 AS num_comments, score,
   'tumblr:' || subreddit || ',b,c' AS subreddit, title, 'u/' || id AS url FROM c WHERE length(body) > 0 OR length(title) > 0""")
 def q_blog(spark, sf):
     n = F.substring("id", 2, 20).cast("long")
     kinds = F.array(*[F.lit(k) for k in ("text", "quote", "answer", "chat", "photo")])
     kind = F.element_at(kinds, (n % 5 + 1).cast("int"))
-    raw = v.posts(spark, sf).withColumn("kind", kind).select(F.to_json(F.struct(
-        "author", F.col("kind").alias("type"), F.when((F.col("kind") == "text") & (n % 15 != 0), F.md5("body")).alias("body"),
+    rest = F.to_json(F.struct(
+        "author", F.col("kind").alias("type"), F.when((F.col("kind") == "text") & (n % 15 != 0), F.col("body")).alias("body"),
         F.when(F.col("kind") == "chat", F.col("title")).alias("title"), F.when(F.col("kind") == "quote", F.col("title")).alias("text"),
-        F.when(n % 2 == 0, "src").alias("source"), F.when(F.col("kind") == "answer", F.md5("body")).alias("answer"),
+        F.when(n % 2 == 0, "src").alias("source"), F.when(F.col("kind") == "answer", F.col("body")).alias("answer"),
         F.concat(F.lit("why "), "subreddit").alias("question"),
-        F.array(F.struct(F.col("title").alias("phrase")), F.struct(F.col("subreddit").alias("phrase"))).alias("dialogue"),
-        F.unix_timestamp("created_utc").alias("timestamp"), "id", F.col("score").alias("note_count"),
+        F.array(F.struct(F.col("title").alias("phrase")), F.struct(F.col("subreddit").alias("phrase"))).alias("dialogue"), "id",
         F.array(F.col("subreddit"), F.lit("b"), F.lit("c"), F.lit("d")).alias("tags"),
-        F.concat(F.lit("u/"), "id").alias("post_url"))).alias("value"))
+        F.concat(F.lit("u/"), "id").alias("post_url")))
+    value = with_members("_rest", timestamp=landed_time(n), note_count=landed_score(n))
+    raw = v.posts(spark, sf).withColumn("kind", kind).withColumn("_rest", rest).select(value.alias("value"))
     return landed.landed_blog_posts(raw).drop("upvote_ratio", "days_to_tp")
 
 

@@ -20,13 +20,13 @@ LANDED_POST = T.StructType([
     T.StructField("author", T.StringType()),
     T.StructField("selftext", T.StringType()),
     T.StructField("body", T.StringType()),
-    T.StructField("created_utc", T.LongType()),
+    T.StructField("created_utc", T.StringType()),
     T.StructField("id", T.StringType()),
-    T.StructField("num_comments", T.LongType()),
-    T.StructField("score", T.LongType()),
+    T.StructField("num_comments", T.StringType()),
+    T.StructField("score", T.StringType()),
     T.StructField("subreddit", T.StringType()),
     T.StructField("title", T.StringType()),
-    T.StructField("upvote_ratio", T.DoubleType()),
+    T.StructField("upvote_ratio", T.StringType()),
     T.StructField("url", T.StringType()),
     T.StructField("permalink", T.StringType()),
 ])
@@ -41,14 +41,16 @@ LANDED_BLOG_POST = T.StructType([
     T.StructField("answer", T.StringType()),
     T.StructField("question", T.StringType()),
     T.StructField("dialogue", T.ArrayType(T.StructType([T.StructField("phrase", T.StringType())]))),
-    T.StructField("timestamp", T.LongType()),
+    T.StructField("timestamp", T.StringType()),
     T.StructField("id", T.StringType()),
-    T.StructField("reply_count", T.LongType()),
-    T.StructField("note_count", T.LongType()),
+    T.StructField("reply_count", T.StringType()),
+    T.StructField("note_count", T.StringType()),
     T.StructField("tags", T.ArrayType(T.StringType())),
     T.StructField("post_url", T.StringType()),
 ])
 
+# Numbers, flags and lists of landed payloads are read as their source text, so that no spelling of them is lost at the scan;
+# the normalisers turn them into values.
 FILTERS = T.StructType([
     T.StructField("zip", T.StringType()),
     T.StructField("insurance", T.StringType()),
@@ -58,27 +60,27 @@ FILTERS = T.StructType([
     T.StructField("sessionFormat", T.StringType()),
     T.StructField("language", T.StringType()),
     T.StructField("providerGender", T.StringType()),
-    T.StructField("concerns", T.ArrayType(T.StringType())),
-    T.StructField("modalities", T.ArrayType(T.StringType())),
-    T.StructField("cultural", T.ArrayType(T.StringType())),
-    T.StructField("accessibility", T.ArrayType(T.StringType())),
+    T.StructField("concerns", T.StringType()),
+    T.StructField("modalities", T.StringType()),
+    T.StructField("cultural", T.StringType()),
+    T.StructField("accessibility", T.StringType()),
 ])
 
 INTERACTION = T.StructType([
     T.StructField("ts", T.StringType()),
     T.StructField("type", T.StringType()),
     T.StructField("providerId", T.StringType()),
-    T.StructField("score", T.LongType()),
-    T.StructField("rating", T.LongType()),
-    T.StructField("insuranceMatch", T.BooleanType()),
-    T.StructField("insurancePartial", T.BooleanType()),
-    T.StructField("ageMatch", T.BooleanType()),
-    T.StructField("concernsOverlap", T.DoubleType()),
-    T.StructField("telehealthMatch", T.BooleanType()),
-    T.StructField("languageMatch", T.BooleanType()),
-    T.StructField("genderMatch", T.BooleanType()),
-    T.StructField("modalityOverlap", T.DoubleType()),
-    T.StructField("culturalOverlap", T.DoubleType()),
+    T.StructField("score", T.StringType()),
+    T.StructField("rating", T.StringType()),
+    T.StructField("insuranceMatch", T.StringType()),
+    T.StructField("insurancePartial", T.StringType()),
+    T.StructField("ageMatch", T.StringType()),
+    T.StructField("concernsOverlap", T.StringType()),
+    T.StructField("telehealthMatch", T.StringType()),
+    T.StructField("languageMatch", T.StringType()),
+    T.StructField("genderMatch", T.StringType()),
+    T.StructField("modalityOverlap", T.StringType()),
+    T.StructField("culturalOverlap", T.StringType()),
     T.StructField("filters", FILTERS),
 ])
 

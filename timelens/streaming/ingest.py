@@ -32,36 +32,51 @@ def ingest_events(spark: SparkSession, source: str, sink: str, rejects: str, che
     replaces its output instead of repeating it.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, bad = split_valid(batch)
-        flatten_interactions(good).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        batch = batch.persist()  # both halves come from one read of the batch
+        try:
+            good, bad = split_valid(batch)
+            flatten_interactions(good).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+            bad.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return (read_events(spark, source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 def collect_stream(posts: DataFrame, sink: str, checkpoint: str, delay: str = "1 day", key: str = "id") -> StreamingQuery:
-    """Append posts whose id was not seen within the watermark; state stays bounded by ``delay``."""
-    timed = posts.withColumn("_event_time", F.col("created_utc").cast("timestamp")).withWatermark("_event_time", delay)
-    return (timed.dropDuplicatesWithinWatermark([key]).drop("_event_time").writeStream.format("parquet")
+    """Append posts whose id did not arrive within the last ``delay``; state stays bounded by it.
+
+    The watermark follows the time of arrival, not the posts' own times, so a post is never too old to be kept. A copy
+    that arrives later than ``delay`` after the first is appended again; ``collect_exact`` has no such limit.
+    """
+    timed = posts.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", delay)
+    return (timed.dropDuplicatesWithinWatermark([key]).drop("_arrived").writeStream.format("parquet")
             .option("path", sink).option("checkpointLocation", checkpoint).outputMode("append")
             .trigger(availableNow=True).start())
 
 
-def collect_exact(spark: SparkSession, posts: DataFrame, sink: str, checkpoint: str, key: str = "id") -> StreamingQuery:
+def collect_exact(spark: SparkSession, posts: DataFrame, sink: str, checkpoint: str, key: str = "id", buckets: int = 64) -> StreamingQuery:
     """Exact keep-first append: each batch meets the stored keys by an anti join.
 
-    Output of batch ``n`` is written under ``batch=n`` and only earlier batches are read, so a
-    repeated batch gives the same rows.
+    The sink is partitioned by a digest of the key, so a batch reads the keys of its own buckets only. Output of batch
+    ``n`` is written under ``batch=n`` and only earlier batches are read, so a repeated batch gives the same rows.
     """
-    schema = posts.schema
+    kind = posts.schema[key].dataType.simpleString()
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = first_per_key(batch, [key], [F.col("created_utc"), *[F.col(c) for c in batch.columns if c not in (key, "created_utc")]])
-        if batch_id > 0:
-            stored = (spark.read.schema(f"{key} {schema[key].dataType.simpleString()}, batch long").parquet(sink)
-                      .filter(F.col("batch") < batch_id).select(key))
-            fresh = fresh.join(stored, key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        batch = batch.persist()
+        try:
+            fresh = first_per_key(batch, [key], [F.col("created_utc"), *[F.col(c) for c in batch.columns if c not in (key, "created_utc")]])
+            fresh = fresh.withColumn("bucket", bucket)
+            if batch_id > 0:
+                touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # at most ``buckets`` numbers
+                stored = (spark.read.schema(f"{key} {kind}, batch long, bucket int").parquet(sink)
+                          .filter((F.col("batch") < batch_id) & F.col("bucket").isin(touched)).select(key))
+                fresh = fresh.join(stored, key, "left_anti")
+            fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{sink}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return (posts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
