@@ -185,5 +185,5 @@ def test_large_catalog_meets_every_request_once(spark):
     from timelens.operators import match
     reqs = spark.range(7).select(F.col("id"), (F.col("id") % 3).alias("k"))
     provs = spark.range(11).select(F.col("id").alias("provider_id"))
-    pairs = lambda limit: sorted((r["id"], r["p"]["provider_id"]) for r in match.requests_by_providers(reqs, provs, limit).collect())
+    pairs = lambda limit: sorted((r["id"], r["p"]["provider_id"]) for r in match.beside_providers(reqs, provs, limit).collect())
     assert pairs(3) == pairs(100) == [(i, j) for i in range(7) for j in range(11)]

@@ -7,46 +7,43 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALT_BUCKETS = 16
+#: Rows that one ordered slice holds on average, and slices at most (the cut points travel with every row).
+SLICE_ROWS = 250_000
+MAX_SLICES = 1024
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_from: str, how: str = "inner",
-                buckets: int = SALT_BUCKETS) -> DataFrame:
-    """Join with the hot keys of ``big`` spread over ``buckets`` tasks.
+def skewed_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where a key may hold a large share of ``big`` and ``small`` has one row a key.
 
-    ``small`` has one row per key and is repeated once per bucket. When it turns out to be
-    small at run time, adaptive execution swaps in a broadcast by its measured size.
+    Adaptive execution decides by measured sizes: a small side is broadcast, and a hot partition of ``big`` is split over
+    tasks that each read the one row of ``small``. Nothing is copied for keys that are not hot.
     """
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(buckets)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return big.join(small, keys, how)
 
 
-def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only if ``df`` is counted at ``max_rows`` or fewer; else returned as is."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def slice_count(rows: int, slice_rows: int = SLICE_ROWS) -> int:
+    return max(1, min(MAX_SLICES, -(-rows // slice_rows)))
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def _slices(df: DataFrame, order: str, parts: int) -> DataFrame:
-    """Tag rows with a slice number that grows with ``order`` (equi-depth cut points)."""
+def _slices(df: DataFrame, order: str, slice_rows: int) -> DataFrame:
+    """Tag rows with a slice number that grows with ``order``: equi-depth cut points, as many as the rows ask for."""
+    parts = slice_count(df.count(), slice_rows)
+    if parts == 1:
+        return df.withColumn("_slice", F.lit(0))
     cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).scalar()
     below = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
     return df.withColumn("_cuts", cuts).withColumn("_slice", F.coalesce(below, F.lit(0))).drop("_cuts")
 
 
-def running_totals(df: DataFrame, group: list[str], order: str, values: list[str], parts: int = 32,
+def running_totals(df: DataFrame, group: list[str], order: str, values: list[str], slice_rows: int = SLICE_ROWS,
                    prefix: str = "before_") -> DataFrame:
     """Exact sums of ``values`` over rows of the group strictly below the current ``order``.
 
     ``df`` holds one row per (group, order). A window over a whole group would sort it in one
-    task, so the order axis is cut into slices: totals per slice give each slice its offset
-    (at most ``parts`` rows a group) and a window runs inside each slice.
+    task, so the order axis is cut into slices whose number follows the rows: totals per slice
+    give each slice its offset and a window runs inside each slice.
     """
-    sliced = _slices(df, order, parts)
+    sliced = _slices(df, order, slice_rows)
     keys = [*group, "_slice"]
     totals = sliced.groupBy(*keys).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     over = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy("_slice")
@@ -60,9 +57,9 @@ def running_totals(df: DataFrame, group: list[str], order: str, values: list[str
         *[(F.col(f"_o_{v}") + F.coalesce(F.sum(v).over(inside), F.lit(0))).alias(f"{prefix}{v}") for v in values])
 
 
-def ranked(df: DataFrame, group: list[str], order: str, tie: str, name: str = "rank", parts: int = 32) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: str, tie: str, name: str = "rank", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Row number inside each group by (``order``, ``tie``) without one task per group."""
-    sliced = _slices(df, order, parts)
+    sliced = _slices(df, order, slice_rows)
     keys = [*group, "_slice"]
     over = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy("_slice")
     offsets = (sliced.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

@@ -41,7 +41,7 @@ def out_of_fold(data: DataFrame, features: list[str], fit: Fit, seed: int = SEED
 
 def oof_auc(data: DataFrame, features: list[str], fit: Fit, seed: int = SEED, folds: int = FOLDS, key: str = "author") -> float | None:
     scores = out_of_fold(data, features, fit, seed, folds, key)
-    return metrics.macro_auc(metrics.class_auc(scores, parts=4)).first()["auc"]
+    return metrics.macro_auc(metrics.class_auc(scores)).first()["auc"]
 
 
 def stack(oofs: dict[str, DataFrame], meta: Fit, seed: int = SEED, folds: int = FOLDS, key: str = "author") -> DataFrame:

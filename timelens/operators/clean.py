@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DELETED_MARKERS, MIN_POSTS
 from ..functions import text as tx
-from ..functions.skew import first_n_per_key, salted_join
+from ..functions.skew import first_n_per_key, skewed_join
 
 
 # A body that is only a deleted marker and white space.
@@ -35,9 +35,9 @@ def active_authors(posts: DataFrame, min_posts: int = MIN_POSTS) -> DataFrame:
             .filter(F.col("n_posts") > min_posts))
 
 
-def keep_authors(posts: DataFrame, authors: DataFrame, salt_from: str = "id") -> DataFrame:
-    """Semi join on author that spreads a hot author over many tasks."""
-    return salted_join(posts, authors.select("author").distinct(), ["author"], salt_from, "left_semi")
+def keep_authors(posts: DataFrame, authors: DataFrame) -> DataFrame:
+    """Semi join on author; adaptive execution splits a hot author over many tasks."""
+    return skewed_join(posts, authors.select("author").distinct(), ["author"], "left_semi")
 
 
 def active_posts(posts: DataFrame, min_posts: int = MIN_POSTS) -> DataFrame:
@@ -59,7 +59,7 @@ def usable_posts(posts: DataFrame, min_posts: int, max_posts: int, min_chars: in
               .filter(F.length("text") > min_chars))
     enough = active_authors(usable, min_posts - 1)
     capped = first_n_per_key(usable, ["author"], [F.col("created_utc"), F.col("id")], max_posts)
-    return salted_join(capped, enough.select("author"), ["author"], "id", "left_semi")
+    return skewed_join(capped, enough.select("author"), ["author"], "left_semi")
 
 
 def cap_per_kind(posts: DataFrame, kind: str, max_posts: int) -> DataFrame:

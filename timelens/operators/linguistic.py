@@ -8,11 +8,8 @@ from pyspark.sql import functions as F
 from ..constants import FIRST_PERSON, LINGUISTIC, NEGATIVE_WORDS, PRE_WINDOWS, UNIT_DAYS, WINDOWS
 from ..functions import text as tx
 from ..functions import timefn as tm
-from ..functions.skew import broadcast_within, salted_join
 from .turning_point import attach_age
 
-LEXICON_BROADCAST_ROWS = 500_000
-
 
 def post_tokens(posts: DataFrame, *keep: str) -> DataFrame:
     """Slim rows ``(author, id, created_utc, text, tokens)``; body before title."""
@@ -23,15 +20,11 @@ def post_tokens(posts: DataFrame, *keep: str) -> DataFrame:
 def token_sums(tokenised: DataFrame, lexicon: DataFrame, keep: list[str], vocabularies: dict[str, list[str]]) -> DataFrame:
     """Token count, hits per vocabulary and lexicon sentiment per post.
 
-    Tokens are exploded next to a broadcast lexicon and summed in the same task before the
-    shuffle, so one row per post moves. Vocabulary tests run in generated code there. A
-    lexicon too large to broadcast is joined by token, salted over its hot tokens.
+    Tokens meet the lexicon by a join whose form follows its measured size: beside a small one they are summed in the same
+    task before the shuffle, so one row per post moves; a large one is met by token, hot tokens split by adaptive execution.
     """
     lex = lexicon.select(F.col("word").alias("token"), "valence")
-    side = broadcast_within(lex, LEXICON_BROADCAST_ROWS)
-    exploded = tokenised.select(*keep, F.explode_outer("tokens").alias("token"))
-    scored = (exploded.join(side, "token", "left") if side is not lex
-              else salted_join(exploded, lex, ["token"], "id", "left"))
+    scored = tokenised.select(*keep, F.explode_outer("tokens").alias("token")).join(lex, "token", "left")
     hits = [F.count(F.when(F.col("token").isin(list(words)), 1)).alias(name) for name, words in vocabularies.items()]
     return scored.groupBy(*keep).agg(
         F.count("token").alias("n_tokens"), *hits,
@@ -68,19 +61,26 @@ def window_aggregates(facts: DataFrame, unit_days: int) -> DataFrame:
     return facts.groupBy("author").agg(*aggs)
 
 
-def distinct_tokens(posts: DataFrame, labels: DataFrame, unit_days: int) -> DataFrame:
-    """Distinct tokens per author and window from one ``(author, token)`` aggregation.
+def token_spans(posts: DataFrame, labels: DataFrame, unit_days: int) -> DataFrame:
+    """``(author, token, bucket, near, far)``: smallest and largest age of a token's uses in each baseline bucket and, as
+    bucket null, in the four units before the anchor. A hot author is spread by token.
+    """
+    u = tm.unit_micros(unit_days)
+    aged = attach_age(post_tokens(posts).select("author", "id", "created_utc", F.array_distinct("tokens").alias("tokens")), labels)
+    bucket = F.when(F.col("age") > 4 * u, tm.back_bucket(F.col("age") - 4 * u, u))
+    return (aged.filter(F.col("age") > 0).select("author", "age", bucket.alias("bucket"), F.explode("tokens").alias("token"))
+            .groupBy("author", "token", "bucket").agg(F.min("age").alias("near"), F.max("age").alias("far")))
+
+
+def distinct_tokens(spans: DataFrame, unit_days: int) -> DataFrame:
+    """Distinct tokens per author and window from ``token_spans``.
 
     The largest and smallest age of a token settle all four windows: it is in a pre-window
     when its latest use before the anchor is recent enough, in the baseline when its earliest
-    use is old enough. A hot author is spread by token.
+    use is old enough.
     """
     u = tm.unit_micros(unit_days)
-    aged = attach_age(post_tokens(posts).select("author", "id", "created_utc",
-                                                F.array_distinct("tokens").alias("tokens")), labels)
-    per_token = (aged.filter(F.col("age") > 0)
-                 .select("author", "age", F.explode("tokens").alias("token"))
-                 .groupBy("author", "token").agg(F.min("age").alias("near"), F.max("age").alias("far")))
+    per_token = spans.groupBy("author", "token").agg(F.min("near").alias("near"), F.max("far").alias("far"))
     counts = [F.count(F.when(F.col("far") > 4 * u, 1)).alias("distinct_baseline")]
     counts += [F.count(F.when(F.col("near") <= k * u, 1)).alias(f"distinct_{w}") for w, k in PRE_WINDOWS.items()]
     return per_token.groupBy("author").agg(*counts)
@@ -90,8 +90,12 @@ def linguistic_windows(posts: DataFrame, labels: DataFrame, lexicon: DataFrame,
                        first_person=FIRST_PERSON, negative=NEGATIVE_WORDS) -> DataFrame:
     """Seven features for each of the four windows, one row per author."""
     facts = post_facts(posts, lexicon, first_person, negative)
-    wide = window_aggregates(attach_age(facts, labels), unit_days)
-    joined = wide.join(distinct_tokens(posts, labels, unit_days), "author", "left")
+    return windows_from(attach_age(facts, labels), token_spans(posts, labels, unit_days), unit_days)
+
+
+def windows_from(aged: DataFrame, spans: DataFrame, unit_days: int) -> DataFrame:
+    """The same from per-post facts with ages and token spans that are already there."""
+    joined = window_aggregates(aged, unit_days).join(distinct_tokens(spans, unit_days), "author", "left")
     cols = []
     for w in WINDOWS:
         n, tok = F.col(f"n_{w}"), F.col(f"tok_{w}")

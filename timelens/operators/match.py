@@ -7,40 +7,42 @@ from pyspark.sql import functions as F
 
 from ..constants import BASE_FEATURES, PROVIDER_FLAGS
 from ..functions import scalar as sc
-from ..functions.skew import fits, salted_join
+from ..functions.skew import skewed_join
 
-MAX_CATALOG = 20_000
+#: Providers that travel together in one row.
+CHUNK = 1000
 
 
 def with_provider(interactions: DataFrame, providers: DataFrame) -> DataFrame:
     """Interactions with provider flags, all false for an unknown provider.
 
-    The catalog is broadcast only when it is counted small; else a plain join is left to
-    adaptive execution, which splits a hot provider on the interaction side.
+    Adaptive execution broadcasts the catalog or splits a hot provider by what it measures.
     """
-    flags = providers.select("provider_id", *PROVIDER_FLAGS)
-    side = F.broadcast(flags) if fits(flags, MAX_CATALOG) else flags
-    joined = interactions.join(side, "provider_id", "left")
+    joined = skewed_join(interactions, providers.select("provider_id", *PROVIDER_FLAGS), ["provider_id"], "left")
     return joined.select(*interactions.columns, *[F.coalesce(c, F.lit(False)).alias(c) for c in PROVIDER_FLAGS])
 
 
-def requests_by_providers(requests: DataFrame, providers: DataFrame, limit: int = MAX_CATALOG) -> DataFrame:
-    """Every request next to every provider of the catalog, as column ``p``.
+def profiles(requests: DataFrame, columns: list[str], key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Distinct requests ``(profile, n, columns)`` and the profile of every request ``(key, profile)``.
 
-    Scoring each request against the whole catalog is the operator's meaning. A catalog of at
-    most ``limit`` providers is packed into one array and exploded beside each request, with no
-    shuffle. A larger one is packed in chunks of about that size, and each request meets every
-    chunk once through a salted join on the chunk number.
+    A score depends on what is asked only, so equal requests are scored once. A profile's number is a digest of its columns.
     """
-    packed = F.collect_list(F.struct(*providers.columns))
-    if fits(providers, limit):
-        return requests.select("*", F.explode(providers.agg(packed).scalar()).alias("p"))
-    chunks = -(-providers.count() // limit)
+    number = F.xxhash64(*[F.to_json(F.struct(c)) for c in columns])
+    tagged = requests.withColumn("profile", number)
+    return (tagged.groupBy("profile").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in columns]), tagged.select(key, "profile"))
+
+
+def beside_providers(requests: DataFrame, providers: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Every row of ``requests`` (profiles, as a rule) next to every provider of the catalog, as column ``p``.
+
+    The catalog is packed into rows of about ``chunk`` providers; each request meets every such row once through a join on
+    its number and unpacks it there.
+    """
+    chunks = max(1, -(-providers.count() // chunk))
     number = F.pmod(F.xxhash64(providers.columns[0]), F.lit(chunks)).cast("int")
-    lists = providers.withColumn("_chunk", number).groupBy("_chunk").agg(packed.alias("_list"))
+    packed = providers.withColumn("_chunk", number).groupBy("_chunk").agg(F.collect_list(F.struct(*providers.columns)).alias("_list"))
     spread = requests.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    joined = salted_join(spread, lists, ["_chunk"], requests.columns[0])
-    return joined.select(*requests.columns, F.explode("_list").alias("p"))
+    return spread.join(packed, "_chunk").select(*requests.columns, F.explode("_list").alias("p"))
 
 
 def rule_score(f: dict[str, Column], p: dict[str, Column]) -> Column:

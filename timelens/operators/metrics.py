@@ -46,7 +46,7 @@ def averages(per: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return (seen.groupBy(*keys) if keys else seen.groupBy()).agg(*macro, *weighted)
 
 
-def class_auc(scores: DataFrame, keys: list[str] | None = None, weight: str | None = None, parts: int = 32) -> DataFrame:
+def class_auc(scores: DataFrame, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """Exact one-vs-rest AUC per (keys, class) from ``(keys, label, class, score)``.
 
     Scores are reduced to positive and negative counts per distinct value, then each value
@@ -59,7 +59,7 @@ def class_auc(scores: DataFrame, keys: list[str] | None = None, weight: str | No
     counts = scores.groupBy(*group, "score").agg(
         F.sum(F.when(hit, w).otherwise(0)).cast("double").alias("pos"),
         F.sum(F.when(hit, 0).otherwise(w)).cast("double").alias("neg"))
-    below = running_totals(counts, group, "score", ["neg"], parts)
+    below = running_totals(counts, group, "score", ["neg"])
     sums = below.groupBy(*group).agg(
         F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("u"),
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
@@ -73,13 +73,13 @@ def macro_auc(per: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return (per.groupBy(*keys) if keys else per.groupBy()).agg(F.avg("auc").alias("auc"))
 
 
-def roc_points(scores: DataFrame, classes: list[str] = LABELS, parts: int = 32) -> DataFrame:
+def roc_points(scores: DataFrame, classes: list[str] = LABELS) -> DataFrame:
     """ROC points per class: rates over scores at or above each distinct score."""
     hit = (F.col("label") == F.col("class")).cast("long")
     counts = scores.filter(F.col("class").isin(classes)).groupBy("class", "score").agg(
         F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"))
     totals = counts.groupBy("class").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    below = running_totals(counts, ["class"], "score", ["pos", "neg"], parts)
+    below = running_totals(counts, ["class"], "score", ["pos", "neg"])
     rows = below.join(totals, "class")
     return rows.select("class", "score", ((F.col("N") - F.col("before_neg")) / F.col("N")).alias("fpr"),
                        ((F.col("P") - F.col("before_pos")) / F.col("P")).alias("tpr"))

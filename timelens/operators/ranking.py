@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DISPARITY_LIMIT, SUBGROUPS
-from ..functions.skew import first_n_per_key, running_totals, salted_join
+from ..functions.skew import first_n_per_key, ranked, running_totals, skewed_join
 
 
 def errors(df: DataFrame, truth: str = "y", pred: str = "p") -> DataFrame:
@@ -17,10 +17,10 @@ def errors(df: DataFrame, truth: str = "y", pred: str = "p") -> DataFrame:
     return df.agg(F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"))
 
 
-def average_ranks(df: DataFrame, value: str, parts: int = 32) -> DataFrame:
+def average_ranks(df: DataFrame, value: str) -> DataFrame:
     """Average rank of each distinct value, ties sharing the middle of their span."""
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    below = running_totals(counts, [], value, ["n"], parts)
+    below = running_totals(counts, [], value, ["n"])
     return below.select(value, (F.col("before_n") + (F.col("n") + 1) / 2.0).alias(f"rank_{value}"))
 
 
@@ -32,7 +32,7 @@ def spearman(df: DataFrame, a: str = "y", b: str = "p") -> DataFrame:
     """
     pairs = df.groupBy(a, b).agg(F.count(F.lit(1)).cast("double").alias("w"))
     ra, rb = average_ranks(df, a), average_ranks(df, b)
-    r = salted_join(salted_join(pairs, ra, [a], b), rb, [b], a).select("w", F.col(f"rank_{a}").alias("x"), F.col(f"rank_{b}").alias("z"))
+    r = skewed_join(skewed_join(pairs, ra, [a]), rb, [b]).select("w", F.col(f"rank_{a}").alias("x"), F.col(f"rank_{b}").alias("z"))
     w, x, z = F.col("w"), F.col("x"), F.col("z")
     mid = (df.agg(F.count(F.lit(1))).scalar() + 1) / 2.0
     dx, dz = x - mid, z - mid
@@ -107,16 +107,24 @@ def profile(df: DataFrame, kind: str, score: str, rating: str) -> DataFrame:
             .withColumn("percent", 100.0 * F.col("n") / total).withColumn(kind, F.coalesce(kind, F.lit("all"))))
 
 
-def ordered_fingerprint(df: DataFrame, order: list[str], value: str) -> DataFrame:
-    """First 8 hex digits of the md5 of the ordered value list; for small tables only."""
-    seq = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("string").alias("_v"))))
-    return df.agg(F.substring(F.md5(F.array_join(F.transform(seq, lambda s: s["_v"]), ", ")), 1, 8).alias("fingerprint"))
+def ordered_fingerprint(df: DataFrame, order: str, value: str, block: int = 1000, levels: int = 3) -> DataFrame:
+    """First 8 hex digits of a digest of the values in order.
+
+    A tree of digests: rows are numbered slice by slice, every ``block`` of them in a row make one digest, every ``block``
+    digests the next, so no task or row holds more than a block. Three levels cover ``block ** 3`` rows.
+    """
+    rows = ranked(df.select(order, F.col(value).cast("string").alias("_v")), [], order, "_v", "_n").select((F.col("_n") - 1).alias("_n"), "_v")
+    for _ in range(levels):
+        seq = F.array_sort(F.collect_list(F.struct("_n", "_v")))
+        rows = rows.groupBy(F.floor(F.col("_n") / block).alias("_b")).agg(F.md5(F.array_join(F.transform(seq, lambda s: s["_v"]), ", ")).alias("_v"))
+        rows = rows.withColumnRenamed("_b", "_n")
+    return rows.select(F.substring("_v", 1, 8).alias("fingerprint"))
 
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Order-free fingerprint at any scale: row count and XOR of 60-bit row digests."""
-    digest = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])), 1, 15), 16, 10).cast("long")
-    return df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(digest).alias("digest"))
+    """Order-free fingerprint at any scale: row count and sum of 60-bit row digests, in which equal rows do not cancel."""
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])), 1, 15), 16, 10)
+    return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(digest.cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").cast("string").alias("digest"))
 
 
 def pair_weights(df: DataFrame, truth: str = "y", pred: str = "p", key: str = "id", group: str | None = None,
@@ -161,7 +169,7 @@ def pair_weights(df: DataFrame, truth: str = "y", pred: str = "p", key: str = "i
     per_label = per_label.select(group, truth, F.array(*coefs).alias("_c"))
     t = (p - mid) / half
     angle = F.acos(F.greatest(F.least(t, F.lit(1.0)), F.lit(-1.0)))
-    joined = salted_join(df, per_label, [group, truth], key).withColumn("_a", angle)
+    joined = skewed_join(df, per_label, [group, truth]).withColumn("_a", angle)
     lam = F.aggregate(F.transform("_c", lambda c, j: c * F.cos(j * F.col("_a"))), F.lit(0.0), lambda s, v: s + v)
     raw = joined.select(key, (F.abs(lam) + 1.0).alias("raw"))
     return raw.select(key, (F.col("raw") / raw.agg(F.avg("raw")).scalar()).alias("weight"))

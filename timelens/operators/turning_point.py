@@ -11,7 +11,7 @@ from ..constants import (AMBIGUOUS_PHRASES, CRISIS_PHRASES, LABEL_PRIORITY, MIN_
                          UNIT_DAYS, WINDOW_UNITS)
 from ..functions import text as tx
 from ..functions import timefn as tm
-from ..functions.skew import salted_join
+from ..functions.skew import skewed_join
 
 
 @dataclass(frozen=True)
@@ -87,13 +87,13 @@ def pseudo_anchor(posts: DataFrame, labels: DataFrame) -> DataFrame:
 def attach_age(posts: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
     """Posts with ``age``: microseconds before the author's anchor (negative after it)."""
     side = labels.select("author", "anchor", *columns)
-    joined = salted_join(posts, side, ["author"], "id")
+    joined = skewed_join(posts, side, ["author"])
     return joined.withColumn("age", tm.micros_between(F.col("created_utc"), F.col("anchor")))
 
 
 def days_to_turning_point(posts: DataFrame, labels: DataFrame) -> DataFrame:
     """Timeline with signed days to the turning point; null for authors without one."""
-    joined = salted_join(posts, labels.select("author", "tp_date"), ["author"], "id")
+    joined = skewed_join(posts, labels.select("author", "tp_date"), ["author"])
     return joined.withColumn(
         "days_to_tp", tm.micros_between(F.col("tp_date"), F.col("created_utc")) / F.lit(float(tm.DAY_US))).drop("tp_date")
 
@@ -101,9 +101,9 @@ def days_to_turning_point(posts: DataFrame, labels: DataFrame) -> DataFrame:
 def label_by_priority(tagged: DataFrame, tag_labels: DataFrame) -> DataFrame:
     """Label per author from tag hits; the smallest priority number wins.
 
-    ``tag_labels`` is the fixed tag list, so the broadcast is bounded.
+    Whether ``tag_labels`` is broadcast is left to its measured size.
     """
-    hit = tagged.join(F.broadcast(tag_labels), "tag")
+    hit = tagged.join(tag_labels, "tag")
     rank = F.create_map(*[x for k, v in LABEL_PRIORITY.items() for x in (F.lit(k), F.lit(v))])
     name = F.create_map(*[x for k, v in LABEL_PRIORITY.items() for x in (F.lit(v), F.lit(k))])
     return (hit.groupBy("author").agg(F.min(rank[F.col("label")]).alias("p"))
@@ -112,6 +112,6 @@ def label_by_priority(tagged: DataFrame, tag_labels: DataFrame) -> DataFrame:
 
 def last_post_time(posts: DataFrame) -> DataFrame:
     """Every post next to its author's last post time, by a map-side combined aggregate and a
-    salted join rather than a window that holds a whole author in one task."""
+    join rather than a window that holds a whole author in one task."""
     last = posts.groupBy("author").agg(F.max("created_utc").alias("last_ts"))
-    return salted_join(posts, last, ["author"], "id")
+    return skewed_join(posts, last, ["author"])

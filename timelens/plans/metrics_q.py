@@ -259,14 +259,18 @@ def q_sorted(spark, sf):
 
 
 @query("dataset_fingerprint", "D54", f"""WITH {INTERACTIONS} SELECT count(*) AS n,
-  bit_xor(CAST('0x' || substr(md5(concat_ws('|', CAST(id AS VARCHAR), type, coalesce(CAST(rating AS VARCHAR), '~'))), 1, 15) AS BIGINT)) AS digest FROM ix""")
+  CAST(sum(CAST('0x' || substr(md5(concat_ws('|', CAST(id AS VARCHAR), type, coalesce(CAST(rating AS VARCHAR), '~'))), 1, 15) AS BIGINT)) AS VARCHAR) AS digest FROM ix""")
 def q_fp(spark, sf):
     return ranking.fingerprint(v.interactions(spark, sf), ["id", "type", "rating"])
 
 
-@query("ordered_fingerprint", "D54", """SELECT substr(md5(string_agg(CAST(s_suppkey AS VARCHAR), ', ' ORDER BY s_suppkey)), 1, 8) AS fingerprint FROM supplier""")
+@query("ordered_fingerprint", "D54", """WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS n, CAST(o_orderkey AS VARCHAR) AS t FROM orders),
+l1 AS (SELECT n // 1000 AS n, md5(string_agg(t, ', ' ORDER BY n)) AS t FROM r GROUP BY 1),
+l2 AS (SELECT n // 1000 AS n, md5(string_agg(t, ', ' ORDER BY n)) AS t FROM l1 GROUP BY 1),
+l3 AS (SELECT n // 1000 AS n, md5(string_agg(t, ', ' ORDER BY n)) AS t FROM l2 GROUP BY 1)
+SELECT substr(t, 1, 8) AS fingerprint FROM l3""")
 def q_ofp(spark, sf):
-    return ranking.ordered_fingerprint(v.table(spark, sf, "supplier"), ["s_suppkey"], "s_suppkey")
+    return ranking.ordered_fingerprint(v.table(spark, sf, "orders"), "o_orderkey", "o_orderkey")
 
 
 @query("pairwise_weights", "M19 C7 H21", f"""WITH {INTERACTIONS},
@@ -405,21 +409,23 @@ PRV = ["insurance", "ages", "concerns", "modalities", "cultural", "languages", "
 
 
 def paired(spark, sf):
-    pairs = match.requests_by_providers(requests(spark, sf), catalog(spark, sf))
+    """Distinct requests beside the catalog, and the profile of every request."""
+    kinds, of = match.profiles(requests(spark, sf), REQ)
     f = {c: F.col(c) for c in REQ}
     p = {c: F.col("p")[c] for c in PRV}
-    return pairs, f, p
+    return match.beside_providers(kinds, catalog(spark, sf)), f, p, of
 
 
 @query("rule_score_by_request", "M26 C6 H17 H18", f"""WITH {CATALOG_SQL}, s AS (SELECT id, provider_id, {RULE_SQL} AS sc FROM req, cat)
 SELECT id, count(*) AS providers, min(sc) AS worst, max(sc) AS best, CAST(sum(sc) AS BIGINT) AS total, min(provider_id) FILTER (sc = mx) AS best_provider
 FROM (SELECT *, max(sc) OVER (PARTITION BY id) AS mx FROM s) GROUP BY id""")
 def q_rule(spark, sf):
-    pairs, f, p = paired(spark, sf)
-    s = pairs.select("id", F.col("p.provider_id").alias("provider_id"), match.rule_score(f, p).alias("sc"))
+    pairs, f, p, of = paired(spark, sf)
+    s = pairs.select("profile", F.col("p.provider_id").alias("provider_id"), match.rule_score(f, p).alias("sc"))
     top = F.min(F.struct(F.negative("sc").alias("s"), F.col("provider_id")))
-    return s.groupBy("id").agg(F.count(F.lit(1)).alias("providers"), F.min("sc").alias("worst"), F.max("sc").alias("best"),
-                               F.sum("sc").alias("total"), top["provider_id"].alias("best_provider"))
+    scored = s.groupBy("profile").agg(F.count(F.lit(1)).alias("providers"), F.min("sc").alias("worst"), F.max("sc").alias("best"),
+                                      F.sum("sc").alias("total"), top["provider_id"].alias("best_provider"))
+    return of.join(scored, "profile").drop("profile")
 
 
 PF = {"insuranceMatch": "(ins = 'any' OR list_contains(p_ins, ins))",
@@ -432,9 +438,11 @@ PO = {"concernsOverlap": ("con", "p_con", 0.5), "modalityOverlap": ("md", "p_mod
   {', '.join(f'CASE WHEN len({a}) > 0 THEN round({OV.format(a, b)}, 3) ELSE {d} END AS "{n}"' for n, (a, b, d) in PO.items())} FROM req, cat)
 SELECT provider_id, {', '.join(f'count(*) FILTER ("{n}") AS "{n}"' for n in PF)}, {', '.join(f'avg("{n}") AS "{n}"' for n in PO)} FROM s GROUP BY provider_id""", list(PO))
 def q_pairf(spark, sf):
-    pairs, f, p = paired(spark, sf)
-    s = pairs.select(F.col("p.provider_id").alias("provider_id"), *match.pair_features(f, p))
-    return s.groupBy("provider_id").agg(*[F.count(F.when(F.col(n), 1)).alias(n) for n in PF], *[F.avg(n).alias(n) for n in PO])
+    pairs, f, p, _ = paired(spark, sf)
+    s = pairs.select(F.col("p.provider_id").alias("provider_id"), "n", *match.pair_features(f, p))
+    n = F.col("n")
+    return s.groupBy("provider_id").agg(*[F.coalesce(F.sum(F.when(F.col(c), n)), F.lit(0)).alias(c) for c in PF],
+                                        *[(F.sum(F.col(c) * n) / F.sum(n)).alias(c) for c in PO])
 
 
 @query("softmax_margin", "H16", f"""WITH {SCORES}, s AS (SELECT id, max(score) FILTER ("class" = 'crisis') AS a, max(score) FILTER ("class" = 'recovery') AS b, max(score) FILTER ("class" = 'neither') AS c FROM scores GROUP BY id),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..constants import LINGUISTIC, PRE_WINDOWS, STYLE, TEMPORAL, WINDOWS
 from ..functions import text as tx
 from ..functions import timefn as tm
-from ..functions.skew import salted_join
 from ..operators import clean, linguistic, style, temporal, turning_point, zscore
 from . import views as v
 from .registry import query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.skew import first_per_key
@@ -30,9 +30,14 @@ def union_sources(sources: list[tuple[str, DataFrame | None, DataFrame | None]])
     return posts, labels
 
 
+def row_digest(df: DataFrame) -> Column:
+    """A digest of the whole row, the same in every run: it settles which of otherwise equal rows comes first."""
+    return F.md5(F.to_json(F.struct(*sorted(df.columns))))
+
+
 def merge_sources(sources: list[tuple[str, DataFrame | None, DataFrame | None]]) -> tuple[DataFrame, DataFrame]:
-    """Union in which the first source wins per post id and per author."""
+    """Union in which the first source wins per post id and per author; equal rows of a source are ordered by their digest."""
     posts, labels = union_sources(sources)
     order = [F.col("_prio"), F.col("created_utc")]
-    return (first_per_key(posts, ["id"], order).drop("_prio"),
-            first_per_key(labels, ["author"], [F.col("_prio")]).drop("_prio"))
+    return (first_per_key(posts, ["id"], [*order, row_digest(posts)]).drop("_prio"),
+            first_per_key(labels, ["author"], [F.col("_prio"), row_digest(labels)]).drop("_prio"))
