@@ -18,13 +18,18 @@ from .folds import CLASSES, assign_folds
 from .models import Fit, resolve
 
 
+def with_folds(data: DataFrame, seed: int = SEED, folds: int = FOLDS, key: str = "author") -> DataFrame:
+    """Rows with their folds, written once: models read their input many times."""
+    return materialize(data.join(assign_folds(data, key, "label", seed, folds), key), "folded")
+
+
 def out_of_fold(data: DataFrame, features: list[str], fit: Fit, seed: int = SEED, folds: int = FOLDS, key: str = "author") -> DataFrame:
     """Long ``(key, label, fold, class, score)``; every row is scored by a model that has not seen it.
 
-    Models read their input many times, so rows and folds are written out once first. The
-    folds are independent Spark jobs and are submitted together.
+    ``data`` may have its folds already (``with_folds``), which callers that fit many models on the same rows make use of.
+    The folds are independent Spark jobs and are submitted together.
     """
-    folded = materialize(data.join(assign_folds(data, key, "label", seed, folds), key), "folded")
+    folded = data if "fold" in data.columns else with_folds(data, seed, folds, key)
 
     @inheritable_thread_target(data.sparkSession)
     def one(k: int) -> DataFrame:
@@ -58,6 +63,7 @@ def stack(oofs: dict[str, DataFrame], meta: Fit, seed: int = SEED, folds: int =
 def search(data: DataFrame, features: list[str], candidates: list[dict], make: Callable[..., Fit], seed: int = SEED,
            folds: int = FOLDS) -> DataFrame:
     """AUC of every parameter set, best first; the earlier set wins a tie."""
+    data = with_folds(data, seed, folds)
     rows = [(i, str(p), oof_auc(data, features, make(**p), seed, folds)) for i, p in enumerate(candidates)]
     df = data.sparkSession.createDataFrame(rows, "trial int, params string, auc double")
     return df.orderBy(F.desc_nulls_last("auc"), "trial")

@@ -97,7 +97,7 @@ def oof_lr(spark, sf):
 
 
 def oof_rf(spark, sf):
-    return oof(spark, sf, "rf", models.forest(trees=50))
+    return oof(spark, sf, "rf", models.forest())
 
 
 @query("oof_logistic_regression", "M3 M6 U4")
@@ -112,7 +112,20 @@ def q_rf(spark, sf):
 
 @query("oof_boosted_trees", "M5 M6")
 def q_gbt(spark, sf):
-    return crossval.out_of_fold(user_matrix(spark, sf), T_COLS, models.boosted(iterations=5, depth=3), folds=3)
+    return crossval.out_of_fold(user_matrix(spark, sf), T_COLS, models.boosted(iterations=20))
+
+
+FOLD_SQL = "CAST((row_number() OVER (PARTITION BY label ORDER BY CAST('0x' || substr(md5(author || ':42'), 1, 15) AS BIGINT), author) - 1) % 5 AS INTEGER)"
+
+
+@query("oof_coverage", "M3 M4 M6", f"""WITH {POSTS}, {LABELS_SQL}, f AS (SELECT author, label, {FOLD_SQL} AS fold FROM labels_t)
+SELECT model, label, fold, count(*) AS authors, 3 * count(*) AS scores, count(*)::DOUBLE AS probability, true AS all_between FROM f, (VALUES ('lr'), ('rf')) m(model) GROUP BY 1, 2, 3""", "probability")
+def q_oof_coverage(spark, sf):
+    """Every author is scored once, in their own fold, with probabilities of all classes that sum to one."""
+    tables_ = [t(spark, sf).withColumn("model", F.lit(n)) for n, t in (("lr", oof_lr), ("rf", oof_rf))]
+    return tables_[0].unionByName(tables_[1]).groupBy("model", "label", "fold").agg(
+        F.count_distinct("author").alias("authors"), F.count("score").alias("scores"), F.sum("score").alias("probability"),
+        F.bool_and(F.col("score").between(0, 1)).alias("all_between"))
 
 
 @query("stacked_models", "M7 M6")
@@ -127,18 +140,18 @@ def q_grid(spark, sf):
 
 @query("random_search", "M10")
 def q_random(spark, sf):
-    space = crossval.random_space(2, trees=(10, 30, "int"), depth=(3, 6, "int"), min_leaf=(1, 5, "int"))
-    return crossval.search(user_matrix(spark, sf), T_COLS, space, models.forest, folds=3)
+    space = crossval.random_space(5, trees=(10, 30, "int"), depth=(3, 6, "int"), min_leaf=(1, 5, "int"))
+    return crossval.search(user_matrix(spark, sf), T_COLS, space, models.forest)
 
 
 @query("feature_importance", "M12 F3 E5")
 def q_importance(spark, sf):
-    return crossval.importance(user_matrix(spark, sf), T_COLS, models.forest(trees=50))
+    return crossval.importance(user_matrix(spark, sf), T_COLS, models.forest())
 
 
 @query("permutation_test", "M17")
 def q_perm(spark, sf):
-    return crossval.permutation_test(user_matrix(spark, sf), T_COLS, models.logistic(max_iter=50), permutations=2, folds=3)
+    return crossval.permutation_test(user_matrix(spark, sf), T_COLS, models.logistic(), permutations=5)
 
 
 @query("permuted_labels", "M17", f"""WITH {POSTS}, {LABELS_SQL},
@@ -151,7 +164,7 @@ def q_permuted(spark, sf):
 
 @query("experiment_metrics", "M29 U5 D41 D42 D43")
 def q_experiment(spark, sf):
-    return crossval.run_experiment(spark, "temporal", user_matrix(spark, sf), ["lr", "rf", "nonesuch"], rf={"trees": 20})
+    return crossval.run_experiment(spark, "temporal", user_matrix(spark, sf), ["lr", "rf", "nonesuch"])
 
 
 # ------------------------------------------------------------------ resampling
@@ -168,7 +181,7 @@ def poisson_sql(key, rep, seed):
     return "(" + " + ".join(f"CASE WHEN {u} >= {c!r} THEN 1 ELSE 0 END" for c in CUM) + ")"
 
 
-B = 20
+B = 200
 DRAWS = f"""dr0 AS (SELECT id, label, r.range AS replicate FROM (SELECT DISTINCT id, label FROM scores), range({B}) r),
 dr AS (SELECT * FROM (SELECT *, {poisson_sql('id', 'replicate', 42)} AS w FROM dr0) WHERE w > 0)"""
 
