@@ -43,13 +43,6 @@ NEGATIVE_WORDS = [
     "burned out", "burnout", "lost", "confused", "confusion",
     "nauseous", "sick", "dying",
 ]
-NEGATIVE_WORDS_SEQUENCE = [
-    "sad", "depressed", "hopeless", "empty", "alone", "lonely",
-    "anxious", "worried", "scared", "panic", "stress", "hate",
-    "angry", "awful", "terrible", "horrible", "broken", "pain",
-    "hurt", "exhausted", "lost", "confused", "dying", "shame",
-    "guilt", "tired", "crying", "tears",
-]
 
 # --- tag groups (fixed values) ---
 CRISIS_TAGS = ["suicidewatch", "suicidal", "suicidal thoughts", "want to die", "active self harm"]
@@ -62,33 +55,6 @@ CONTROL_TAGS = [
 ]
 LABEL_PRIORITY = {"crisis": 0, "recovery": 1, "neither": 2}
 
-# --- prototype sentences per class (fixed values) ---
-PROTOTYPES = {
-    "crisis": [
-        "i want to kill myself tonight",
-        "i cant do this anymore i want to die",
-        "im going to end it all",
-        "i have a plan to hurt myself",
-        "im suicidal right now and cant stop",
-        "everything hurts and i dont want to be alive",
-    ],
-    "recovery": [
-        "im doing better than i was last year",
-        "therapy has been helping me cope",
-        "ive been clean from self harm for six months",
-        "im learning to manage my depression",
-        "today was hard but i made it through",
-        "im proud of the progress ive made",
-    ],
-    "neither": [
-        "i went to the park with my friends",
-        "the new movie was really good",
-        "i love this book so far",
-        "heres a photo from my trip last week",
-        "cant wait for the weekend",
-        "my favorite song is on the radio",
-    ],
-}
 VERIFY_MIN_POSTS = 5
 VERIFY_MAX_POSTS = 100
 VERIFY_MIN_MARGIN = 0.02

@@ -36,11 +36,6 @@ def tokens(text: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(_c(text)), F.lit(TOKEN), F.lit(0))
 
 
-def case_tokens(text: str | Column) -> Column:
-    """Token pattern on the text as written, so words holding capitals do not match."""
-    return F.regexp_extract_all(_c(text), F.lit(TOKEN), F.lit(0))
-
-
 def words(text: str | Column) -> Column:
     return F.regexp_extract_all(_c(text), F.lit(WORD), F.lit(0))
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..constants import LABELS as CLASSES
-from ..constants import PRE_WINDOWS, WINDOWS
+from ..constants import PRE_WINDOWS, VERIFY_MAX_POSTS, VERIFY_MIN_POSTS, WINDOWS
 from ..functions import vector as vec
-from ..operators import changepoint, reports, semantic, weekly
+from ..operators import changepoint, clean, reports, semantic, weekly
 from . import views as v
 from .registry import query
 from .views import AGED, FACTS, LABELS, POSTS
@@ -45,7 +45,8 @@ def _long(df):
 @query("user_mean_vectors", "D28", f"""WITH {POSTS}, {LABELS}, {EMB} SELECT author, dim, avg(x) AS x FROM posts JOIN emb USING (id)
 WHERE author IN (SELECT author FROM labels_t) GROUP BY 1, 2""", "x")
 def q_uvec(spark, sf):
-    cells = semantic.mean_cells(v.posts(spark, sf), v.post_embeddings(spark, sf))
+    posts = clean.usable_posts(v.posts(spark, sf), VERIFY_MIN_POSTS, VERIFY_MAX_POSTS)
+    cells = semantic.mean_cells(posts, v.post_embeddings(spark, sf))
     return _long(semantic.user_vectors(v.labels(spark, sf), cells, DIMS))
 
 
@@ -77,7 +78,11 @@ proto0 AS (SELECT (['crisis', 'recovery', 'neither'])[label + 1] AS cls, i.i - 1
   WHERE label < 3 GROUP BY 1, 2),
 proto AS (SELECT cls, dim, m / (sqrt(sum(m * m) OVER (PARTITION BY cls)) + 1e-8) AS p FROM proto0),
 un AS (SELECT id, dim, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM emb),
-uv AS (SELECT author, dim, avg(x) AS m FROM posts JOIN un USING (id) GROUP BY 1, 2),
+use0 AS (SELECT author, id, created_utc FROM posts
+  WHERE length(regexp_replace(coalesce(title,'') || ' ' || coalesce(body,''), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')) > 10),
+usable AS (SELECT author, id FROM use0 QUALIFY count(*) OVER (PARTITION BY author) >= {VERIFY_MIN_POSTS}
+  AND row_number() OVER (PARTITION BY author ORDER BY created_utc, id) <= {VERIFY_MAX_POSTS}),
+uv AS (SELECT author, dim, avg(x) AS m FROM usable JOIN un USING (id) GROUP BY 1, 2),
 un2 AS (SELECT author, dim, m / (sqrt(sum(m * m) OVER (PARTITION BY author)) + 1e-8) AS m FROM uv),
 sims AS (SELECT author, sum(m * p) FILTER (cls = 'crisis') AS sim_crisis, sum(m * p) FILTER (cls = 'recovery') AS sim_recovery,
          sum(m * p) FILTER (cls = 'neither') AS sim_neither FROM un2 JOIN proto USING (dim) GROUP BY author),
@@ -94,7 +99,8 @@ def similarities(spark, sf):
     name = F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.col("label") + 1)
     protos = semantic.class_prototypes(v.table(spark, sf, "embeddings").filter("label < 3").withColumn("class", name).select("class", "embedding")
                                        .withColumnRenamed("class", "c"), "c")
-    cells = semantic.mean_cells(v.posts(spark, sf), v.post_embeddings(spark, sf), unit_vectors=True)
+    posts = clean.usable_posts(v.posts(spark, sf), VERIFY_MIN_POSTS, VERIFY_MAX_POSTS)
+    cells = semantic.mean_cells(posts, v.post_embeddings(spark, sf), unit_vectors=True)
     return semantic.prototype_similarity(cells, protos)
 
 
