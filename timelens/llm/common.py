@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -53,6 +54,11 @@ def text_list(col: pa.Array) -> list[str]:
     return ["" if x is None else x for x in col.to_pylist()]
 
 
+def sizes(col: pa.Array) -> list[int]:
+    """Bytes of every text of an Arrow column."""
+    return pc.fill_null(pc.binary_length(col), 0).to_pylist()
+
+
 def steps(sizes: list[int], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes, or of a single longer row."""
     start, total = 0, 0

@@ -17,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import query, steps, table, text_list
+from .common import query, sizes, steps, table, text_list
 
 SYMBOLS = 64
 DIM = 1024
 SEED = 7
 #: Prototypes are sent to every task; a language column with more values than this is refused.
 MAX_LANGS = 10_000
-STEP = 2 << 20
+#: Bytes of text that are bundled at a time.
+STEP = 1 << 20
 
 
 @lru_cache(1)
@@ -82,10 +83,10 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_l
     def sums(batches):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            texts, langs = text_list(batch.column(0)), batch.column(1).to_pylist()
-            for a, b in steps([len(t) for t in texts], STEP):
+            langs = batch.column(1).to_pylist()
+            for a, b in steps(sizes(batch.column(0)), STEP):
                 names, rows = np.unique(np.array(langs[a:b], dtype=object).astype(str), return_inverse=True)
-                owner, codes = trigrams(texts[a:b])
+                owner, codes = trigrams(text_list(batch.column(0).slice(a, b - a)))
                 vec = bundle(rows[owner], codes, len(names)) if len(codes) else np.zeros((len(names), DIM))
                 for name, v in zip(names.tolist(), vec):
                     total[name] = total.get(name, 0) + v.astype(np.int64)
@@ -101,11 +102,11 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_l
     return {r["lang"]: np.array(r["v"], dtype=np.float64) for r in sorted(got, key=lambda r: r["lang"])}
 
 
-def classify(texts: list[str], names: list[str], unit: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Language and score of every text."""
-    langs, scores = ["und"] * len(texts), np.zeros(len(texts))
-    for a, b in steps([len(t) for t in texts], STEP):
-        owner, codes = trigrams(texts[a:b])
+def classify(col: pa.Array, names: list[str], unit: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and score of every text of a column."""
+    langs, scores = ["und"] * len(col), np.zeros(len(col))
+    for a, b in steps(sizes(col), STEP):
+        owner, codes = trigrams(text_list(col.slice(a, b - a)))
         if not len(codes) or not len(names):
             continue
         vec = bundle(owner, codes, b - a)
@@ -127,7 +128,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_cols: list[s
 
     def run(batches):
         for batch in batches:
-            langs, scores = classify(text_list(batch.column(batch.num_columns - 1)), names, unit)
+            langs, scores = classify(batch.column(batch.num_columns - 1), names, unit)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores)], schema=None,
                                              names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
@@ -144,7 +145,7 @@ def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col
 
     def run(batches):
         for batch in batches:
-            langs, scores = classify(text_list(batch.column(at)), names, unit)
+            langs, scores = classify(batch.column(at), names, unit)
             yield batch.filter(pa.array((np.array(langs) != "und") & (scores > min_score)))
 
     return docs.mapInArrow(run, docs.schema)
