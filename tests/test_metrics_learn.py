@@ -36,15 +36,16 @@ def test_ndcg(spark):
     assert got == pytest.approx(gain([0, 0.5, 1]) / gain([1, 0.5, 0]))
 
 
-@pytest.mark.parametrize("spread", [0.1, 1.0, 8.0])
+@pytest.mark.parametrize("spread", [0.1, 1.0, 8.0, 1000.0])
 def test_pair_weights_match_all_pairs(spark, spread):
     rng = np.random.default_rng(1)
     y, p = rng.choice([0.0, 0.25, 0.6, 1.0], 80), rng.normal(0, spread, 80)
+    p[:6] = [0.0, 1.0, 0.5, -1.0, 2.0, 2.0]
     lam = np.zeros(80)
     for i in range(80):
         for j in range(80):
             if y[i] > y[j]:
-                g = -abs(y[i] - y[j]) / (1 + np.exp(p[i] - p[j]))
+                g = -abs(y[i] - y[j]) / (1 + np.exp(min(700.0, p[i] - p[j])))
                 lam[i] += g
                 lam[j] -= g
     want = np.abs(lam) + 1
