@@ -25,9 +25,9 @@ def slice_count(rows: int, slice_rows: int = SLICE_ROWS) -> int:
     return max(1, min(MAX_SLICES, -(-rows // slice_rows)))
 
 
-def _slices(df: DataFrame, order: str, slice_rows: int) -> DataFrame:
+def _slices(df: DataFrame, order: str, parts: int | None) -> DataFrame:
     """Tag rows with a slice number that grows with ``order``: equi-depth cut points, as many as the rows ask for."""
-    parts = slice_count(df.count(), slice_rows)
+    parts = parts or slice_count(df.count())
     if parts == 1:
         return df.withColumn("_slice", F.lit(0))
     cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).scalar()
@@ -35,15 +35,15 @@ def _slices(df: DataFrame, order: str, slice_rows: int) -> DataFrame:
     return df.withColumn("_cuts", cuts).withColumn("_slice", F.coalesce(below, F.lit(0))).drop("_cuts")
 
 
-def running_totals(df: DataFrame, group: list[str], order: str, values: list[str], slice_rows: int = SLICE_ROWS,
+def running_totals(df: DataFrame, group: list[str], order: str, values: list[str], parts: int | None = None,
                    prefix: str = "before_") -> DataFrame:
     """Exact sums of ``values`` over rows of the group strictly below the current ``order``.
 
     ``df`` holds one row per (group, order). A window over a whole group would sort it in one
     task, so the order axis is cut into slices whose number follows the rows: totals per slice
-    give each slice its offset and a window runs inside each slice.
+    give each slice its offset and a window runs inside each slice. ``parts`` sets the number by hand.
     """
-    sliced = _slices(df, order, slice_rows)
+    sliced = _slices(df, order, parts)
     keys = [*group, "_slice"]
     totals = sliced.groupBy(*keys).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     over = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy("_slice")
@@ -57,9 +57,9 @@ def running_totals(df: DataFrame, group: list[str], order: str, values: list[str
         *[(F.col(f"_o_{v}") + F.coalesce(F.sum(v).over(inside), F.lit(0))).alias(f"{prefix}{v}") for v in values])
 
 
-def ranked(df: DataFrame, group: list[str], order: str, tie: str, name: str = "rank", slice_rows: int = SLICE_ROWS) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: str, tie: str, name: str = "rank", parts: int | None = None) -> DataFrame:
     """Row number inside each group by (``order``, ``tie``) without one task per group."""
-    sliced = _slices(df, order, slice_rows)
+    sliced = _slices(df, order, parts)
     keys = [*group, "_slice"]
     over = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy("_slice")
     offsets = (sliced.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

@@ -46,7 +46,7 @@ def averages(per: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return (seen.groupBy(*keys) if keys else seen.groupBy()).agg(*macro, *weighted)
 
 
-def class_auc(scores: DataFrame, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
+def class_auc(scores: DataFrame, keys: list[str] | None = None, weight: str | None = None, parts: int | None = None) -> DataFrame:
     """Exact one-vs-rest AUC per (keys, class) from ``(keys, label, class, score)``.
 
     Scores are reduced to positive and negative counts per distinct value, then each value
@@ -59,7 +59,7 @@ def class_auc(scores: DataFrame, keys: list[str] | None = None, weight: str | No
     counts = scores.groupBy(*group, "score").agg(
         F.sum(F.when(hit, w).otherwise(0)).cast("double").alias("pos"),
         F.sum(F.when(hit, 0).otherwise(w)).cast("double").alias("neg"))
-    below = running_totals(counts, group, "score", ["neg"])
+    below = running_totals(counts, group, "score", ["neg"], parts)
     sums = below.groupBy(*group).agg(
         F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("u"),
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
