@@ -39,10 +39,10 @@ def test_pieces(edge, edge_rows, library, size, n_open):
     rows = pack(edge, FILE, size=size, n_open=n_open, max_pad=size // 128).collect()
     tokens, seqs = check(rows, [r[:2] for r in edge_rows], library, size)
     assert seqs * size - tokens < size + size // 128 * seqs + 1
-    texts = {r[0]: r[1] or "" for r in edge_rows}
+    coded = {r[0]: np.array(library.encode(r[1] or "", add_special_tokens=False).ids + [1], "<u4") for r in edge_rows}
     for r in rows:
         if r.doc_id is not None:
-            ids = np.array(library.encode(texts[r.doc_id], add_special_tokens=False).ids + [1], "<u4")[r.start:r.start + r.length]
+            ids = coded[r.doc_id][r.start:r.start + r.length]
             assert bytes(r.ids) == ids.tobytes() and r.ids_crc32 == zlib.crc32(ids.tobytes())
 
 
