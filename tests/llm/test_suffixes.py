@@ -5,6 +5,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from timelens.llm.suffixes import find, remove, repeated, suffix_order
 
 from .conftest import prose, row
@@ -43,6 +45,19 @@ def test_equals_brute_force(ready_spark, edge, edge_rows, hot_rows):
     assert text[1] is None and all(text[r[0]] == w[4].decode() for r, w in zip(rows, want) if r[0] not in (None, 1, 8) and (r[1] or "").isascii())
 
 
+@pytest.mark.parametrize("hot_rows", [4096, 1])
+def test_texts_without_id_and_equal_32_bit_hash(ready_spark, edge, hot_rows):
+    tail = prose(random.Random(9), 200)[:260]
+    one, two = "000000239986" + tail, "000000311700" + tail
+    rows = [row(None, one), row(None, two), row(7, one[:230])]
+    docs = ready_spark.createDataFrame(rows, edge.schema)
+    assert docs.where("doc_id IS NULL").select(F.hash("text").alias("h")).distinct().count() == 1
+    want = brute([r[1].encode() for r in rows], 200)
+    got = find(docs, hot_rows=hot_rows).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted((str(r[0]), *w[:4]) for r, w in zip(rows, want))
+    assert sorted(r.text for r in remove(docs, hot_rows=hot_rows).collect()) == sorted(w[4].decode() for w in want)
+
+
 def test_suffix_order_is_the_sorted_order():
     rng = random.Random(1)
     for size in (2, 3, 40):

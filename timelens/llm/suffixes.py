@@ -193,7 +193,7 @@ def repeats(docs: DataFrame, length: int, hot_rows: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(v, t) for v, t in zip(
                         got[1:], [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]))], names=["id", "th", "start", "n", "mh", "sh", "times"])
 
-    cuts = materialize(docs.mapInArrow(cut, "id long, th int, start int, n int, mh long, sh long, times int"), "sfx_segments")
+    cuts = materialize(docs.mapInArrow(cut, "id long, th long, start int, n int, mh long, sh long, times int"), "sfx_segments")
     again = (cuts.groupBy("mh").agg(F.sum("times").alias("all"), F.min("sh").alias("lo"), F.max("sh").alias("hi"), F.max("times").alias("most"))
              .where("all > 1").select("mh", F.expr("lo <> hi OR most > 1").alias("mixed")))
     found = materialize(cuts.select("id", "th", "start", "n", "mh", "sh").join(again, "mh"), "sfx_again")
@@ -221,7 +221,7 @@ def repeats(docs: DataFrame, length: int, hot_rows: int) -> DataFrame:
                                                  names=["id", "th", "mh", "hot", "copies", "start", "seg"])
 
     segs = docs.join(places, ["id", "th"]).select("id", "th", "text", "cuts").dropDuplicates(["id", "th"]).mapInArrow(
-        take, "id long, th int, mh long, hot boolean, copies long, start int, seg binary")
+        take, "id long, th long, mh long, hot boolean, copies long, start int, seg binary")
     segs = materialize(segs, "sfx_bytes")
 
     def sort_block(rows):
@@ -230,7 +230,7 @@ def repeats(docs: DataFrame, length: int, hot_rows: int) -> DataFrame:
             if copies == 1:
                 out += [(i, th, start + a, start + b) for a, b in runs_of(flag)]
         cols = list(zip(*out)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.int32()])], names=["id", "th", "s", "e"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32()])], names=["id", "th", "s", "e"])
 
     def sort(batches):
         rows, size, last = [], 0, None
@@ -245,7 +245,7 @@ def repeats(docs: DataFrame, length: int, hot_rows: int) -> DataFrame:
             yield sort_block(rows)
 
     sorted_ = (segs.where("NOT hot").select("id", "th", "mh", "copies", "start", "seg").repartition("mh").sortWithinPartitions("mh")
-               .mapInArrow(sort, "id long, th int, s int, e int"))
+               .mapInArrow(sort, "id long, th long, s int, e int"))
 
     def windows(batches):
         for batch in batches:
@@ -253,12 +253,12 @@ def repeats(docs: DataFrame, length: int, hot_rows: int) -> DataFrame:
                 a = np.frombuffer(seg, np.uint8)
                 d1, d2 = (rolled(BYTES[j][a], binary_parts(length)).view(np.int64) for j in (0, 1))
                 k = len(d1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, i)), pa.array(np.full(k, th, np.int32)), pa.array(np.full(k, copies)),
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, i)), pa.array(np.full(k, th)), pa.array(np.full(k, copies)),
                                                   pa.array(np.arange(start, start + k, dtype=np.int32)), pa.array(d1), pa.array(d2)],
                                                  names=["id", "th", "copies", "s", "d1", "d2"])
 
     single = segs.where("hot").select("id", "th", "copies", "start", "seg").mapInArrow(
-        windows, "id long, th int, copies long, s int, d1 long, d2 long")
+        windows, "id long, th long, copies long, s int, d1 long, d2 long")
     often = single.groupBy("d1", "d2").agg(F.sum("copies").alias("c")).where("c > 1").select("d1", "d2")
     hot_spans = single.where("copies = 1").join(often, ["d1", "d2"]).select("id", "th", "s", (F.col("s") + 1).alias("e"))
     spans = equal.unionByName(sorted_).unionByName(hot_spans)
@@ -278,10 +278,12 @@ def merged(spans, length: int) -> list[tuple[int, int]]:
 
 
 def with_spans(docs: DataFrame, id_col: str, text_col: str, length: int, hot_rows: int) -> DataFrame:
-    """All columns of ``docs`` and ``_text`` (null: empty) and ``_spans`` (null: none)."""
-    no_id = F.lit((1 << 63) - 1)
+    """All columns of ``docs`` and ``_text`` (null: empty) and ``_spans`` (null: none).
+
+    Texts that share an id are told apart by a 64-bit digest. Rows without an id have a second one in its place, 128 bits in all.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select("*", F.coalesce(F.col(id_col).cast("long"), no_id).alias("_id"), F.hash(text).alias("_th"), text.alias("_text"))
+    keyed = docs.select("*", F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit(1), text)).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
     source = keyed.select(F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("_text").alias("text"))
     found = repeats(source, length, hot_rows).select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
     return keyed.join(found, ["_id", "_th"], "left")
