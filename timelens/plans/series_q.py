@@ -263,8 +263,5 @@ def q_rates(spark, sf):
 
 @query("change_point_pipeline", "M24 C8 D30")
 def q_cp_pipeline(spark, sf):
-    """Sentiment series of labelled posters, detected change points and hit rates."""
-    labels = v.labels(spark, sf).filter(F.col("label").isin("crisis", "recovery"))
-    series = weekly.weekly_series(weekly.post_scores(v.posts(spark, sf), v.lexicon(spark, sf)), "sentiment")
-    cps = changepoint.change_points(series, min_weeks=2)
-    return changepoint.hit_rates(changepoint.nearest_distance(cps, labels))
+    """Detected change points of the order series, which has real weeks, and hit rates by the customers' labels."""
+    return changepoint.hit_rates(changepoint.nearest_distance(changepoint.change_points(order_series(spark, sf)), order_labels(spark, sf)))
