@@ -2,21 +2,25 @@
 
 Every vector gets its distances to a fixed set of pivots once (the pivot table). For a query q and a candidate x
 the triangle inequality gives ``|q - x| >= max over pivots p of | |q - p| - |x - p| |``, and with
-``q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2`` that lower bound on the distance is an upper bound on the score. Inside a
-block candidates are evaluated in the order of that bound until the next bound is below the k-th score.
+``q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2`` that lower bound on the distance is an upper bound on the score.
+
+Candidates are dealt by nearest pivot. The distances of a set of candidates to each pivot lie in an interval, so one
+bound holds for the whole set: cells (all candidates of a pivot) that cannot reach a query's threshold never meet it, and
+inside a block runs of candidates are visited in the order of their bound until the rest is below each query's k-th
+score. Scores of a run are one matrix product.
 
 Pivots come from a sample of ``sample_rows`` rows (those with the smallest id digests), picked far from each other; the
 origin is always a pivot, which makes Cauchy-Schwarz part of the bound. The same sample gives each query a starting
-threshold: its k-th score among the sample can only be too low, so nothing is lost. The sample and the pivots have a
-fixed size and are the only data sent to every task. Query blocks meet candidate blocks in a keyed cogroup of
-``block_rows`` rows on each side, so the work per task is fixed and the block grid grows with the two tables.
+threshold: its k-th score among the sample can only be too low, so nothing is lost. The sample, the pivots and the
+intervals of the cells have a fixed size and are the only data sent to every task. Query blocks meet candidate blocks
+in a keyed cogroup, so the work per task is fixed and the block grid grows with the two tables.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -67,44 +71,69 @@ def distances(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
         np.concatenate([distances(part, pivots) for part in np.array_split(m, 2)])
 
 
-def search_block(qid, q, qd, start, cid, c, cd, k):
-    """Top k of one candidate block for every query of one query block, exact."""
-    out = []
-    cn = (c ** 2).sum(1)
-    for a in range(0, len(qid), 64):
-        part = slice(a, a + 64)
-        low = np.zeros((len(qid[part]), len(cid)))
-        for p in range(cd.shape[1]):
-            np.maximum(low, np.abs(qd[part, p, None] - cd[None, :, p]), out=low)
-        qn = (q[part] ** 2).sum(1)
-        up = (qn[:, None] + cn[None, :] - low ** 2) / 2
-        up += 1e-9 * (qn[:, None] + cn[None, :]) + 1e-6
-        for i in range(len(qid[part])):
-            mine, floor_ = qid[a + i], start[a + i]
-            left = np.flatnonzero((up[i] >= floor_) & (cid != mine))
-            left = left[np.argsort(-up[i, left], kind="stable")]
-            best_s, best_id = np.empty(0, np.int64), np.empty(0, np.int64)
-            for b in range(0, len(left), 256):
-                if len(best_s) == k and up[i, left[b]] < best_s[-1]:
-                    break
-                at = left[b:b + 256]
-                s = np.concatenate([best_s, exact_scores(c[at], q[a + i])])
-                ids = np.concatenate([best_id, cid[at]])
-                keep = np.lexsort((ids, -s.astype(np.float64) if np.abs(s).max(initial=0) < 2 ** 53 else [-int(x) for x in s]))[:k]
-                best_s, best_id = s[keep], ids[keep]
-            out.append((np.full(len(best_s), mine), best_id, best_s))
-    if not out:
+def upper_bounds(q: np.ndarray, qd: np.ndarray, low: np.ndarray, high: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """(query, set) bounds on the score. Sets have the least and largest distance to each pivot and the largest squared norm."""
+    gap = np.zeros((len(q), len(low)))
+    for p in range(qd.shape[1]):
+        np.maximum(gap, qd[:, p, None] - high[None, :, p], out=gap)
+        np.maximum(gap, low[None, :, p] - qd[:, p, None], out=gap)
+    size = (q ** 2).sum(1)[:, None] + norm[None, :]
+    return (size - gap ** 2) / 2 + 1e-9 * size + 1e-6
+
+
+def search_block(qid, q, qd, start, cid, c, cd, k, run=512):
+    """Top k of one candidate block for every query of one query block, exact. ``start``: a score that is not too high."""
+    near = cd.argmin(1)
+    order = np.lexsort((cd[np.arange(len(cd)), near], near))
+    cid, c, cd = cid[order], c[order], cd[order]
+    cuts = np.arange(0, len(c), run)
+    up = upper_bounds(q, qd, np.minimum.reduceat(cd, cuts), np.maximum.reduceat(cd, cuts), np.maximum.reduceat((c ** 2).sum(1), cuts))
+    exact = np.abs(c).max(initial=0) * np.abs(q).max(initial=0) * max(1, c.shape[1]) < 2 ** 53
+    bound = start.copy()
+    held = np.full((len(q), k), -np.inf)
+    found, waiting = [], 0
+
+    def best(found):
+        """The k best of each query; ties to the smaller id."""
+        row, ids, score = (np.concatenate([f[i] for f in found]) for i in range(3))
+        at = np.lexsort((ids, ~score, row))
+        row, ids, score = row[at], ids[at], score[at]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return row[keep], ids[keep], score[keep]
+
+    for r in np.argsort(-up.max(0), kind="stable"):
+        live = np.flatnonzero(up[:, r] >= bound)
+        if not len(live):
+            # A later run may still be open for another query.
+            continue
+        part = slice(cuts[r], cuts[r] + run)
+        s = (q[live] @ c[part].T).astype(np.int64) if exact else np.array([exact_scores(c[part], x) for x in q[live]])
+        hit = (s >= bound[live, None]) & (cid[None, part] != qid[live, None])
+        rows, cols = np.nonzero(hit)
+        found.append((live[rows], cid[part][cols], s[rows, cols]))
+        waiting += len(rows)
+        if waiting > 1 << 20:
+            # Many equal scores: those that cannot be among the k best any more go.
+            found, waiting = [best(found)], 0
+        new = np.flatnonzero(hit.any(1))
+        more = np.concatenate([held[live[new]], np.where(hit[new], s[new].astype(np.float64), -np.inf)], 1)
+        held[live[new]] = np.partition(more, -k, 1)[:, -k:]
+        # One step below, so that a score that a double cannot hold is not lost.
+        least = held[live[new]].min(1)
+        bound[live[new]] = np.maximum(bound[live[new]], least if exact else np.nextafter(least, -np.inf))
+    if not found:
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-    return pd.DataFrame({n: np.concatenate([o[j] for o in out]) for j, n in enumerate(("query_id", "vec_id", "score"))})
+    row, ids, score = best(found)
+    return pd.DataFrame({"query_id": qid[row], "vec_id": ids, "score": score})
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
-          scale: float = 64.0, pivots: int = 24, sample_rows: int = 2048, block_rows: int = 2048) -> DataFrame:
+          scale: float = 64.0, pivots: int = 24, sample_rows: int = 2048, block_rows: int = 8192) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` best candidates of every query by integer inner product.
 
     A candidate with the query's id is its own row and left out. Rows without an id, and vectors that are null or hold a
     null or non-finite component, take no part. Vectors of different lengths are compared as if filled with zeros. Rows
-    that repeat an id count as separate candidates; a repeated query id is searched once, by its first vector.
+    that repeat an id count as separate candidates; a repeated query id is searched once, by the smallest of its vectors (element by element).
     Ties go to the smaller id. Empty tables give no rows. Other columns are ignored.
     """
     spark = candidates.sparkSession
@@ -119,37 +148,51 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, id_col: str =
     sample_id, sample = np.array([r["vec_id"] for r in rows]), matrix([r["v"] for r in rows], width)
     piv = spread_pivots(sample, pivots)
 
-    def prepare(threshold: bool):
-        def run(batches):
-            for pdf in batches:
-                m = matrix(pdf["v"].tolist(), width)
-                out = pd.DataFrame({"vec_id": pdf["vec_id"], "vec": [r.tobytes() for r in m], "dist": [r.tobytes() for r in distances(m, piv)]})
-                if threshold:
-                    least = []
-                    for i, v in zip(pdf["vec_id"], m):
-                        s = np.sort(exact_scores(sample[sample_id != i], v))
-                        least.append(float(s[-k]) if len(s) >= k else -np.inf)
-                    out["least"] = least
-                yield out
-        return run
-
-    grid_q, grid_c = -(-ask["n"] // block_rows), -(-shape["n"] // block_rows)
-    left = (asked.mapInPandas(prepare(True), "vec_id long, vec binary, dist binary, least double")
+    def indexed(batches):
+        for pdf in batches:
+            m = matrix(pdf["v"].tolist(), width)
+            d = distances(m, piv)
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "vec": [r.tobytes() for r in m], "dist": list(d), "norm": (m ** 2).sum(1), "cell": d.argmin(1).astype("int32")})
+
+    index = materialize(cand.mapInPandas(indexed, "vec_id long, vec binary, dist array<double>, norm double, cell int"), "topk_pivots")
+    n_piv = len(piv)
+    cells = {r["cell"]: r for r in index.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.max("norm").alias("norm"), F.array(*[F.min(F.col("dist")[i]) for i in range(n_piv)]).alias("low"),
+        F.array(*[F.max(F.col("dist")[i]) for i in range(n_piv)]).alias("high")).collect()}
+    names = sorted(cells)
+    low, high, norm = (np.array([cells[c][x] for c in names], float) for x in ("low", "high", "norm"))
+    blocks = [max(1, -(-cells[c]["n"] // block_rows)) for c in names]
+
+    def asked_rows(batches):
+        for pdf in batches:
+            m = matrix(pdf["v"].tolist(), width)
+            d = distances(m, piv)
+            least = []
+            for i, v in zip(pdf["vec_id"], m):
+                s = np.sort(exact_scores(sample[sample_id != i], v))
+                least.append(float(np.nextafter(float(s[-k]), -np.inf)) if len(s) >= k else -np.inf)
+            open_ = upper_bounds(m, d, low, high, norm) >= np.array(least)[:, None]
+            meets = [[(names[j], b) for j in np.flatnonzero(o) for b in range(blocks[j])] for o in open_]
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "vec": [r.tobytes() for r in m], "dist": list(d), "least": least,
+                                "cell": [[c for c, _ in x] for x in meets], "block": [[b for _, b in x] for x in meets]})
+
+    grid_q = -(-ask["n"] // block_rows)
+    of_cell = F.create_map(*[F.lit(int(x)) for c, b in zip(names, blocks) for x in (c, b)])
+    left = (asked.mapInPandas(asked_rows, "vec_id long, vec binary, dist array<double>, least double, cell array<int>, block array<int>")
             .withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(grid_q)).cast("int"))
-            .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(grid_c - 1)))))
-    right = (cand.mapInPandas(prepare(False), "vec_id long, vec binary, dist binary")
-             .withColumn("cb", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(grid_c)).cast("int"))
+            .withColumn("at", F.explode(F.arrays_zip("cell", "block"))).select("vec_id", "vec", "dist", "least", "qb", "at.cell", "at.block"))
+    right = (index.drop("norm").withColumn("block", F.pmod(F.xxhash64("vec_id", "vec"), of_cell[F.col("cell")]).cast("int"))
              .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(grid_q - 1)))))
 
     def block(key, a, b):
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         load = lambda col, n: np.frombuffer(b"".join(col), np.float64).reshape(n, -1)
-        return search_block(a["vec_id"].to_numpy(), load(a["vec"], len(a)), load(a["dist"], len(a)), a["least"].to_numpy(),
-                            b["vec_id"].to_numpy(), load(b["vec"], len(b)), load(b["dist"], len(b)), k)
+        return search_block(a["vec_id"].to_numpy(), load(a["vec"], len(a)), np.stack(a["dist"]), a["least"].to_numpy(),
+                            b["vec_id"].to_numpy(), load(b["vec"], len(b)), np.stack(b["dist"]), k)
 
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(block, SCHEMA)
-    from pyspark.sql import Window
+    keys = ["qb", "cell", "block"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(block, SCHEMA)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -158,8 +201,8 @@ SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-           FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+     q AS (SELECT vec_id, min(v) AS v FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM q JOIN v c ON q.vec_id <> c.vec_id),
      r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
