@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import MATCH_FEATURES, PRE_WINDOWS, STYLE, TEMPORAL
+from ..constants import MATCH_FEATURES, STYLE, TEMPORAL
 from ..learn import crossval, encode, folds, models, resample, ridge, tfidf
 from ..operators import linguistic, matrix, metrics, ranking, semantic, style, temporal, zscore
 from ..session import materialize, shared_dir
@@ -168,20 +168,17 @@ def q_experiment(spark, sf):
 
 
 # ------------------------------------------------------------------ resampling
-CUM = []
-_total, _fact = 0.0, 1.0
-for _k in range(16):
-    _fact = _fact * _k if _k else 1.0
-    _total += 2.718281828459045 ** -1.0 / _fact
-    CUM.append(_total)
-
-
 def poisson_sql(key, rep, seed):
-    u = f"CAST('0x' || substr(md5({key} || ':' || {rep} || '-{seed}'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
-    return "(" + " + ".join(f"CASE WHEN {u} >= {c!r} THEN 1 ELSE 0 END" for c in CUM) + ")"
+    """Weight of a row in a replicate: Poisson(1) by inversion of a cubic polynomial in the replicate, modulo a prime."""
+    p = resample.PRIME
+    c = [f"(CAST('0x' || substr(md5({key} || ':{seed}'), {1 + 8 * i}, 8) AS BIGINT) % {p})" for i in range(4)]
+    u = c[0]
+    for x in c[1:]:
+        u = f"(({u} * ({rep} + 1) % {p} + {x}) % {p})"
+    return f"(SELECT {' + '.join(f'CASE WHEN u >= {t} THEN 1 ELSE 0 END' for t in resample.REACHED)} FROM (SELECT {u} AS u))"
 
 
-B = 200
+B = 2000
 DRAWS = f"""dr0 AS (SELECT id, label, r.range AS replicate FROM (SELECT DISTINCT id, label FROM scores), range({B}) r),
 dr AS (SELECT * FROM (SELECT *, {poisson_sql('id', 'replicate', 42)} AS w FROM dr0) WHERE w > 0)"""
 
@@ -220,7 +217,7 @@ def q_paired(spark, sf):
     return resample.paired_bootstrap(a, a.withColumn("score", (F.col("score") * 1000) % 7), B)
 
 
-GM = [f"late_night_rate_{w}" for w in PRE_WINDOWS]
+GM = T_COLS
 
 
 @query("bootstrap_group_means", "M18", f"""WITH {POSTS}, {LABELS_SQL}, x AS {TSQL},
