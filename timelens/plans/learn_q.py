@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..constants import MATCH_FEATURES, STYLE, TEMPORAL
-from ..learn import crossval, encode, folds, models, resample, ridge, tfidf
+from ..learn import crossval, encode, folds, many, models, resample, ridge, tfidf
 from ..operators import linguistic, matrix, metrics, ranking, semantic, style, temporal, zscore
 from ..session import materialize, shared_dir
 from ..sources import tables
@@ -151,7 +151,14 @@ def q_importance(spark, sf):
 
 @query("permutation_test", "M17")
 def q_perm(spark, sf):
-    return crossval.permutation_test(user_matrix(spark, sf), T_COLS, models.logistic(), permutations=5)
+    """A thousand permutations, fitted as columns of one design."""
+    return many.permutation_test(crossval.with_folds(user_matrix(spark, sf)), T_COLS, permutations=1000)
+
+
+@query("penalty_search", "M9")
+def q_penalty(spark, sf):
+    """Thirteen penalties and all their folds in the same passes."""
+    return many.penalty_search(crossval.with_folds(user_matrix(spark, sf)), T_COLS, [10.0 ** (e / 3) for e in range(-6, 7)])
 
 
 @query("permuted_labels", "M17", f"""WITH {POSTS}, {LABELS_SQL},
@@ -256,6 +263,34 @@ def q_tfidf(spark, sf):
     return t.groupBy("block", "term").agg(F.max("df").alias("df"), F.max("idf").alias("idf"), F.count(F.lit(1)).alias("authors"), F.sum("weight").alias("weight"))
 
 
+def oof_tfidf(spark, sf):
+    """Scores of authors from their words alone; vocabulary and model from the other folds."""
+    def make():
+        counts = tfidf.term_counts(v.posts(spark, sf))
+        return crossval.out_of_fold(user_matrix(spark, sf).select("author", "label"), [], tfidf.channel(counts))
+    return once(spark, sf, "oof_tfidf", make)
+
+
+@query("oof_tfidf", "M3 M11")
+def q_oof_tfidf(spark, sf):
+    return oof_tfidf(spark, sf)
+
+
+@query("stacked_tfidf_forest", "M7 M11")
+def q_stack_tfidf(spark, sf):
+    """The words' channel and the forest's, stacked."""
+    return crossval.stack({"tfidf": oof_tfidf(spark, sf), "rf": oof_rf(spark, sf)}, models.logistic(c=1.0))
+
+
+@query("tfidf_channel_coverage", "M7 M11", f"""WITH {POSTS}, {LABELS_SQL}, f AS (SELECT author, label, {FOLD_SQL} AS fold FROM labels_t)
+SELECT model, label, fold, count(*) AS authors, 3 * count(*) AS scores, count(*)::DOUBLE AS probability, true AS all_between FROM f, (VALUES ('tfidf'), ('stack')) m(model) GROUP BY 1, 2, 3""", "probability")
+def q_tfidf_coverage(spark, sf):
+    """Every author has scores of the words' channel and of the stack, in their own fold."""
+    both = oof_tfidf(spark, sf).withColumn("model", F.lit("tfidf")).unionByName(q_stack_tfidf(spark, sf).withColumn("model", F.lit("stack")))
+    return both.groupBy("model", "label", "fold").agg(F.count_distinct("author").alias("authors"), F.count("score").alias("scores"),
+                                                      F.sum("score").alias("probability"), F.bool_and(F.col("score").between(0, 1)).alias("all_between"))
+
+
 # ------------------------------------------------------------------ encoder
 @query("encoded_posts", "M25 U6", f"""WITH {POSTS}, t AS (SELECT id, lower(coalesce(title,'') || ' ' || coalesce(body,'')) AS text FROM posts),
 c AS (SELECT id, i.i AS dim, length(text) - length(replace(text, chr(97 + i.i::INTEGER), '')) AS n FROM t, range(26) i(i))
