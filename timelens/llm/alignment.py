@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .bpe import PLAIN
+from .bpe import LETTERS, PLAIN
 from .common import mix64, query, sizes, steps, table, text_list
 from .packing import Tokenizer
 
 #: Pairs of a shard, rows of partial counts that one task turns into a vector, pairs sent to every task.
 SHARD_PAIRS, VECTOR_ROWS, HELD_PAIRS = 1 << 16, 1 << 20, 1 << 20
 #: Pairs that a task of the first pass counts before it hands them on, bytes of text it works on at a time.
-TASK_PAIRS, BATCH_BYTES = 1 << 20, 1 << 19
+TASK_PAIRS, BATCH_BYTES = 1 << 20, 1 << 20
+#: Both tokenizers end a token before a space that follows one of these characters, so texts are cut there. Cuts that one worker keeps,
+#: and the longest that it keeps.
+CUT, MAY_END = re.compile(rf"(?<=[!-~{LETTERS[6:]}])(?= )"), re.compile(rf"[!-~{LETTERS[6:]}]")
+KEPT_CUTS, LONGEST_KEPT = 400_000, 48
 SLOTS_PER_KEY, LEVELS = 2.0, 40
 
 
@@ -102,6 +108,8 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model_b)
         n = self.b.get_piece_size()
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(n)))]
+        #: No piece holds a space after another character, so pieces never reach over a cut.
+        self.cuts = not any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(n) if not self.b.is_control(i))
         self.size_a, self.size_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
         # Decimal ids behind each of the separators that may stand before them.
         self.text_a = [s + str(i) for s in (",", ";") for i in range(len(self.bytes_a))]
@@ -112,41 +120,59 @@ class Aligner:
             return self.a.fast.encode_ordinary(text)
         return self.a.library.encode(text, add_special_tokens=False).ids
 
-    def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both; none where the text is empty or a tokenizer does not give its bytes back."""
-        out = []
-        for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
-            if not text:
-                out.append(([], []))
-                continue
-            spaced = " " + text
-            raw, a = spaced.encode(), self.ids_a(spaced)
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
-            out.append((a, b) if same else ([], []))
-        return out
-
-    def links(self, pairs: list[tuple[list[int], list[int]]]):
-        """For a batch of documents: (document, pair, times) of each distinct linked pair, and per document its groups.
+    def flat_a(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has. Plain texts that end where a cut may follow are encoded as one."""
+        if self.a.fast and len(texts) > 1:
+            whole = "".join(texts)
+            if not PLAIN.search(whole) and all(map(MAY_END.match, [t[-1] for t in texts[:-1]])):
+                ids = np.array(self.a.fast.encode_ordinary(whole), np.int64)
+                stops = np.searchsorted(np.cumsum(self.size_a[ids]), np.cumsum([len(t) if t.isascii() else len(t.encode()) for t in texts])) + 1
+                return ids, np.diff(stops, prepend=0)
+        many = [*map(self.ids_a, texts)]
+        return np.fromiter(chain.from_iterable(many), np.int64), np.array([*map(len, many)], np.int64)
+
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """Ids of both for texts that begin with a space, all in a row, and how many each text has; last, the texts whose bytes a
+        tokenizer does not give back: they get no ids."""
+        many = self.b.encode([t[1:] for t in texts], num_threads=1)
+        b, nb = np.fromiter(chain.from_iterable(many), np.int64), np.array([*map(len, many)], np.int64)
+        a, na = self.flat_a(texts)
+        raw = [t.encode() for t in texts]
+        ends, whole = np.cumsum([*map(len, raw)]), b"".join(raw)
+        checks = (self.bytes_a, self.size_a, a, na), (self.bytes_b, self.size_b, b, nb)
+        if all(b"".join(map(bytes_of.__getitem__, ids.tolist())) == whole and (np.cumsum(size[ids])[np.cumsum(n) - 1] == ends).all()
+               for bytes_of, size, ids, n in checks if texts):
+            return a, na, b, nb, []
+        bad = set()
+        for bytes_of, _, ids, n in checks:
+            at = 0
+            for i, (r, k) in enumerate(zip(raw, n.tolist())):
+                if b"".join(map(bytes_of.__getitem__, ids[at:at + k].tolist())) != r:
+                    bad.add(i)
+                at += k
+        good = ~np.isin(np.arange(len(texts)), [*bad])
+        return a[np.repeat(good, na)], na * good, b[np.repeat(good, nb)], nb * good, sorted(bad)
+
+    def links(self, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray):
+        """(text, pair, times) of each distinct linked pair, sorted by text; the groups of each text; where tokens and groups end.
 
         Tokens of both tile the same bytes, so each stretch between neighbouring ends of either belongs to one link and to no other.
         """
-        na, nb = (np.array([len(p[k]) for p in pairs], np.int64) for k in (0, 1))
-        a, b = (np.fromiter((i for p in pairs for i in p[k]), np.int64) for k in (0, 1))
         end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         ends = np.union1d(end_a, end_b)
         at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-        doc = np.repeat(np.arange(len(pairs)), na)[at_a] if len(ends) else np.zeros(0, np.int64)
-        key = a[at_a] << 32 | b[at_b] if len(ends) else np.zeros(0, np.int64)
-        distinct, which = np.unique(key, return_inverse=True)
-        cell, times = np.unique(doc * max(1, len(distinct)) + which, return_counts=True)
+        text_of = np.repeat(np.arange(len(na)), na)
+        pair, which = np.unique(a[at_a] << 32 | b[at_b], return_inverse=True)
+        cell, times = np.unique(text_of[at_a] * max(1, len(pair)) + which, return_counts=True)
+        text, which = np.divmod(cell, max(1, len(pair)))
         common = end_a[np.isin(end_a, end_b, assume_unique=True)]
-        stop = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(pairs)), na), self.size_a[a], len(pairs)).astype(np.int64))])
+        stop = np.concatenate([[0], end_a])[np.concatenate([[0], np.cumsum(na)])]
         groups = np.diff(np.searchsorted(common, stop, "right"))
-        return (cell // max(1, len(distinct)), distinct[cell % max(1, len(distinct))], times.astype(np.int64), na, nb, groups, (a, b, end_a, end_b, common))
+        return text, pair[which], times, groups, (end_a, end_b, common)
 
-    def group_texts(self, na, nb, parts) -> list[str]:
-        """``a1,a2|b1;a3|b2,b3`` of each document."""
-        a, b, end_a, end_b, common = parts
+    def group_texts(self, a, na, b, nb, parts) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` of each text."""
+        end_a, end_b, common = parts
         group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
         first_a = np.diff(group_a, prepend=-1) != 0
         first_b = np.diff(group_b, prepend=-1) != 0
@@ -157,36 +183,103 @@ class Aligner:
         return ["".join(flat[s - n:s])[1:] for s, n in zip(stops.tolist(), (na + nb).tolist())]
 
 
+class Cuts:
+    """Alignments of the stretches between cuts, each made once while it is kept.
+
+    A stretch has its counts of tokens and groups, its groups as text, and its linked pairs (numbers into ``pairs``) with how often each occurs.
+    """
+
+    def __init__(self, al: Aligner, shown: bool):
+        self.al, self.shown = al, shown
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.pair_number: dict[int, int] = {}
+        self.text: list[str] = []
+        self.pairs = np.zeros(0, np.int64)
+        self.sizes = np.zeros((3, 0), np.int64)
+        self.start, self.pair, self.times = np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def add(self, fresh: list[str]) -> set[str]:
+        """Align new stretches; those that do not come back byte for byte are returned (and count as empty)."""
+        a, na, b, nb, bad = self.al.tokens(fresh)
+        which, pair, times, groups, parts = self.al.links(a, na, b, nb)
+        base = self.sizes.shape[1]
+        self.number.update(zip(fresh, range(base, base + len(fresh))))
+        if self.shown:
+            self.text += self.al.group_texts(a, na, b, nb, parts)
+        known = self.pair_number
+        met, inv = np.unique(pair, return_inverse=True)
+        at = np.array([known.setdefault(p, len(known)) for p in met.tolist()], np.int32)
+        self.pairs = np.fromiter(known, np.int64, len(known))
+        self.sizes = np.concatenate([self.sizes, [na, nb, groups]], 1)
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.bincount(which, minlength=len(fresh)))])
+        self.pair, self.times = np.concatenate([self.pair, at[inv]]), np.concatenate([self.times, times.astype(np.int32)])
+        return {fresh[i] for i in bad}
+
+    def align(self, texts: list[str]):
+        """(document, pair number, times) of each distinct linked pair; tokens of A, of B and groups of each document; its groups as
+        text, where wanted; the pairs that the numbers stand for."""
+        cut = [(CUT.split(" " + t) if self.al.cuts else [" " + t]) if t else [] for t in texts]
+        if len(self.number) > KEPT_CUTS:
+            self.clear()
+        fresh = sorted(set().union(*cut).difference(self.number))
+        bad = self.add(fresh)
+        passing = bad | {x for x in fresh if len(x) > LONGEST_KEPT}
+        if bad:
+            # The whole text decides whether the bytes come back.
+            whole = [i for i, c in enumerate(cut) if not bad.isdisjoint(c)]
+            for i in whole:
+                cut[i] = [" " + texts[i]]
+            passing.update(cut[i][0] for i in whole)
+            fresh = sorted({cut[i][0] for i in whole}.difference(self.number))
+            if fresh:
+                self.add(fresh)
+        n = np.array([*map(len, cut)], np.int64)
+        flat = [*map(self.number.__getitem__, chain.from_iterable(cut))]
+        part, doc, stops = np.array(flat, np.int64), np.repeat(np.arange(len(cut)), n), np.cumsum(n).tolist()
+        sums = [np.bincount(doc, row[part], len(cut)).astype(np.int64) for row in self.sizes]
+        shown = None
+        if self.shown:
+            get = self.text.__getitem__
+            shown = [";".join(map(get, flat[b - a:b])) for a, b in zip(map(len, cut), stops)]
+        # Stretches of one document are put together first, then their pairs.
+        width = self.sizes.shape[1]
+        cell, often = np.unique(doc * width + part, return_counts=True)
+        doc, part = np.divmod(cell, max(1, width))
+        size = self.start[part + 1] - self.start[part]
+        at = np.repeat(self.start[part] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        width = max(1, len(self.pairs))
+        cell, which = np.unique(np.repeat(doc, size) * width + self.pair[at], return_inverse=True)
+        total = np.bincount(which, self.times[at] * np.repeat(often, size), len(cell)).astype(np.int64)
+        # Long stretches and such as did not come back are not kept: no text finds their place again.
+        for x in passing:
+            self.number.pop(x, None)
+        return *np.divmod(cell, width), total, *sums, shown, self.pairs
+
+
 @lru_cache(1)
 def aligner(file_a: str, model_b: bytes) -> Aligner:
     return Aligner(file_a, model_b)
 
 
 def _partial_counts(docs: DataFrame, shared, task_pairs: int) -> DataFrame:
-    """``pair, docs``: documents of a task that hold the pair; a task hands on at most ``task_pairs`` pairs at a time."""
+    """``pair, docs``: documents of a task that hold the pair; a task hands on at most about ``task_pairs`` pairs at a time."""
     def run(batches):
-        al = aligner(*shared.value)
-        keys, counts, fresh = np.zeros(0, np.int64), np.zeros(0, np.int64), []
-
-        def merged():
-            every = np.concatenate([keys, *fresh])
-            k, inv = np.unique(every, return_inverse=True)
-            return k, np.bincount(inv, np.concatenate([counts, np.ones(len(every) - len(keys), np.int64)]), len(k)).astype(np.int64)
-
-        room = task_pairs
+        cuts = Cuts(aligner(*shared.value), False)
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             texts = text_list(batch.column(0))
             for s, e in steps([len(t) for t in texts], BATCH_BYTES):
-                pair = al.links(al.tokens(texts[s:e]))[1]
-                fresh.append(pair)
-                room -= len(pair)
-                if room < 0:
-                    keys, counts = merged()
-                    fresh, room = [], task_pairs
-                    if len(keys) > task_pairs:
-                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["pair", "docs"])
-                        keys, counts = keys[:0], counts[:0]
-        keys, counts = merged()
+                _, pair, *_, pairs = cuts.align(texts[s:e])
+                here = np.bincount(pair, minlength=len(pairs))
+                met = np.flatnonzero(here)
+                keys, inv = np.unique(np.concatenate([keys, pairs[met]]), return_inverse=True)
+                counts = np.bincount(inv, np.concatenate([counts, here[met]]), len(keys)).astype(np.int64)
+                if len(keys) > task_pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["pair", "docs"])
+                    keys, counts = keys[:0], counts[:0]
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["pair", "docs"])
 
     return docs.select("text").mapInArrow(run, "pair long, docs long")
@@ -249,18 +342,19 @@ COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 def _looked_up(docs: DataFrame, shared, held, whole: bool) -> DataFrame:
     """Rows of kind 0: a document with what the held pairs give; of kind 1: a document's links to a pair that is not held."""
     def run(batches):
-        al, part, n = aligner(*shared.value), TaskContext.get().partitionId() << 36, 0
+        cuts, part, n = Cuts(aligner(*shared.value), True), TaskContext.get().partitionId() << 36, 0
         keys, docs_of, best = held.value
         mph, dense = _held(keys.tobytes(), docs_of.tobytes())
         i64 = pa.int64()
         for batch in batches:
             ids, texts = batch.column(0), text_list(batch.column(1))
             for s, e in steps([len(t) for t in texts], BATCH_BYTES):
-                doc, pair, times, na, nb, groups, parts = al.links(al.tokens(texts[s:e]))
-                shown = al.group_texts(na, nb, parts)
-                at = mph.numbers(pair)
-                known = at >= 0
-                count = np.where(known, dense[np.maximum(at, 0)] if len(dense) else 0, 0)
+                doc, which, times, na, nb, groups, shown, pairs = cuts.align(texts[s:e])
+                met, which = np.unique(which, return_inverse=True)
+                met = pairs[met]
+                at = mph.numbers(met)
+                count_of = np.where(at >= 0, dense[np.maximum(at, 0)] if len(dense) else 0, 0)
+                known, count, pair = (at >= 0)[which], count_of[which], met[which]
                 is_best = known & (count == best[pair >> 32])
                 k = e - s
                 n_best = np.bincount(doc, times * is_best, k).astype(np.int64)
