@@ -64,3 +64,16 @@ def test_edges(edge, edge_rows, empty, reference):
     back = decode(got, FILE, tok.PATTERN)
     assert sorted((str(r.doc_id), bytes(r.decoded).decode()) for r in back.collect()) == want
     assert encode(empty, FILE, tok.PATTERN).count() == 0
+
+
+def test_other_patterns(ready_spark):
+    """Texts of plain characters follow the pattern they are given."""
+    path = tok.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    texts = ["Hello world, it's 12345 o'clock", "a  b\n c1d22", "x=y+1;"]
+    docs = ready_spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for pattern in (r"\S+|\s+", r"\d{1,3}|\D+", tok.PATTERN):
+        lib = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for r in encode(docs, path, pattern).collect():
+            assert [int.from_bytes(r.ids[i:i + 4], "little") for i in range(0, len(r.ids), 4)] == lib.encode_ordinary(texts[r.doc_id])

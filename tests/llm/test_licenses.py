@@ -52,3 +52,10 @@ def test_matching_statistics_equal_brute_force():
 def test_empty(empty):
     assert scan_licenses(empty).count() == 0
     assert words(b"") == []
+
+
+def test_phrases_of_one_word(ready_spark, edge):
+    """Every place of the word counts, inside other phrases' runs too."""
+    df = ready_spark.createDataFrame([row(1, "copyleft is copyleft under the mit license. copyleft mit license")], edge.schema)
+    got = scan_licenses(df, phrases=[*PHRASES, ("copyleft", "left"), ("license", "any")]).first()
+    assert (got.n_base, got.first_word, got.last_word, got.base_labels) == (7, 0, 9, "any,left,mit")

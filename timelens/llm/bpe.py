@@ -26,6 +26,8 @@ from .common import query, steps, table, text_list
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Texts of these characters only can take the plain pattern below; any other text takes the tokenizer's own.
 PLAIN = re.compile(rf"[^\x00-\x1b\x20-\x7e{LETTERS}]")
+#: Fixed value: the pattern that the plain one stands for on such texts.
+FULL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PLAIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\t-\r {LETTERS}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 MASK = (1 << 64) - 1
 #: Pre-tokens kept between batches by one worker.
@@ -101,7 +103,8 @@ class Bpe:
         self.byte = [rank[bytes([b])] for b in range(256)]
         #: (left token, right token) -> token, for every cut of every token into two tokens.
         self.pair = {rank[t[:c]] << 32 | rank[t[c:]]: r for t, r in rank.items() for c in range(1, len(t)) if t[:c] in rank and t[c:] in rank}
-        self.plain, self.full = re.compile(PLAIN_PATTERN), regex.compile(pattern)
+        self.full = regex.compile(pattern)
+        self.plain = re.compile(PLAIN_PATTERN) if pattern == FULL_PATTERN else self.full
         self.known: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:

@@ -118,6 +118,14 @@ def classify(col: pa.Array, names: list[str], unit: np.ndarray) -> tuple[list[st
     return langs, scores
 
 
+def lettered(col: pa.Array) -> np.ndarray:
+    """Whether each text of a column holds a letter."""
+    out = np.zeros(len(col), bool)
+    for a, b in steps(sizes(col), STEP):
+        out[a + np.unique(trigrams(text_list(col.slice(a, b - a)))[0])] = True
+    return out
+
+
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_cols: list[str], text_col: str = "text") -> DataFrame:
     """``id_cols`` with ``lang_pred`` and ``score`` (cosine with the prototype, 0 to 1), one row for each row of ``docs``.
 
@@ -139,14 +147,22 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_cols: list[s
 
 
 def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", min_score: float = 0.0) -> DataFrame:
-    """Rows of ``docs``, all columns, whose text has a language with a cosine above ``min_score``; ``und`` goes."""
+    """Rows of ``docs``, all columns whatever their names, whose text has a language with a cosine above ``min_score``; ``und`` goes.
+
+    A text that is null or holds no letter is ``und`` always. Where nothing was learned no language can be told, so every text with a letter
+    stays. Repeated rows stay or go together; an empty table gives no rows.
+    """
     names, unit = list(prototypes), np.array([v / max(np.linalg.norm(v), 1e-9) for v in prototypes.values()]).reshape(len(prototypes), DIM)
     at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            langs, scores = classify(batch.column(at), names, unit)
-            yield batch.filter(pa.array((np.array(langs) != "und") & (scores > min_score)))
+            if names:
+                langs, scores = classify(batch.column(at), names, unit)
+                stays = (np.array(langs) != "und") & (scores > min_score)
+            else:
+                stays = lettered(batch.column(at))
+            yield batch.filter(pa.array(stays))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -122,7 +122,9 @@ class Scanner:
         seqs = [[self.ids[w] for w in t] for t in texts]
         self.sizes = [len(s) for s in seqs]
         self.auto = Automaton(seqs)
-        base = {self.auto.find(seqs[i]): i for i in range(len(phrases))}
+        base = {self.auto.find(seqs[i]): i for i in range(len(phrases)) if len(seqs[i]) > 1}
+        #: Phrases of one word need no run; every place of the word is one.
+        self.alone = [(seqs[i][0], i) for i in range(len(phrases)) if len(seqs[i]) == 1]
         self.found = []
         for state in range(len(self.auto.size)):
             on, s = [], state
@@ -144,7 +146,7 @@ class Scanner:
         """Number of words, places of phrases, and for each template its best chain: (covered words, spans)."""
         ws = words(text)
         ids = np.fromiter(map(self.ids.get, ws, repeat(-1)), np.int32, len(ws))
-        places, matches = [], []
+        matches, places = [], [(at, p) for word, p in self.alone for at in np.flatnonzero(ids == word).tolist()]
         ok = self.pair[ids[:-1], ids[1:]]
         if ok.any():
             edge = np.flatnonzero(np.diff(np.concatenate([[0], ok.view(np.int8), [0]])))

@@ -166,13 +166,19 @@ def classify(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_
 
 def keep_good(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
               weight: float = 0.5, min_good: float = MIN_GOOD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``classify`` keeps. Texts are measured twice and never shuffled for it."""
+    """The rows of ``docs``, all columns whatever their names, that ``classify`` keeps. Texts are measured twice and never shuffled for it.
+
+    A null text is empty; null hosts and paths form a site of their own; repeated rows stay or go together; an empty table gives no rows.
+    """
     model = train(docs, labels, sample_rows, id_col, text_col)
     sites, rate = site_posteriors(evidence(docs, model, host_col, path_col, [], text_col))
-    lift = sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"),
-                        F.least(F.lit(1 - 1e-4), F.greatest(F.lit(1e-4), F.col("path_rate"))).alias("_rate"))
+    own = "_"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    lift = sites.select(F.col("host").alias(f"{own}host"), F.col("path").alias(f"{own}path"),
+                        F.least(F.lit(1 - 1e-4), F.greatest(F.lit(1e-4), F.col("path_rate"))).alias(f"{own}rate"))
     host, path = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (host_col, path_col))
-    joined = docs.join(materialize(lift, "site_rates"), (host == F.col("_host")) & (path == F.col("_path"))).drop("_host", "_path")
+    joined = docs.join(materialize(lift, "site_rates"), (host == F.col(f"{own}host")) & (path == F.col(f"{own}path"))).drop(f"{own}host", f"{own}path")
     at, base = docs.columns.index(text_col), float(np.log(rate / (1 - rate)))
 
     def run(batches):
