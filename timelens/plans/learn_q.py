@@ -316,11 +316,12 @@ def ridge_input(spark, sf):
 NAMES = ["one", *MATCH_FEATURES, "y"]
 
 
-@query("ridge_sufficient_statistics", "M20", f"""WITH {INTERACTIONS}, {FEATS}, z AS (SELECT 1.0 AS one, * FROM fx)
-{' UNION ALL '.join(f"SELECT {i} AS i, {j} AS j, sum({a} * {b})::DOUBLE AS value FROM z" for i, a in enumerate(NAMES) for j, b in enumerate(NAMES) if j >= i and (i < 6 or j == len(NAMES) - 1))}""", "value")
+@query("ridge_sufficient_statistics", "M20", f"""WITH {INTERACTIONS}, {FEATS}, z AS (SELECT [{', '.join(f'CAST({c} AS DOUBLE)' for c in ['1.0', *NAMES[1:]])}] AS x FROM fx)
+SELECT CAST(i.range AS INTEGER) AS i, CAST(j.range AS INTEGER) AS j, sum(x[i.range + 1] * x[j.range + 1]) AS value
+FROM z, range({len(NAMES)}) i, range({len(NAMES)}) j WHERE j.range >= i.range GROUP BY 1, 2""", "value")
 def q_gram(spark, sf):
-    last = len(NAMES) - 1
-    return ridge.gram(ridge_input(spark, sf), [*MATCH_FEATURES, "y"]).filter((F.col("i") < 6) | (F.col("j") == last))
+    """All second moments of the features, the constant and the target."""
+    return ridge.gram(ridge_input(spark, sf), [*MATCH_FEATURES, "y"])
 
 
 @query("bayesian_ridge_predictions", "M20")
