@@ -63,22 +63,25 @@ def q_delta(spark, sf):
     return m.select("author", *matrix.select_family(m, "deltas"))
 
 
-CORR_COLS = [f"{f}_pre_4w" for f in TEMPORAL]
+FILLED_SQL = f"""x AS {TSQL}, md AS (SELECT {', '.join(f'median("{c}") AS "{c}"' for c in T_COLS)} FROM x),
+m AS (SELECT [{', '.join(f'CAST(coalesce(x."{c}", md."{c}") AS DOUBLE)' for c in T_COLS)}] AS l, [{', '.join(f'CAST(x."{c}" AS DOUBLE)' for c in T_COLS)}] AS raw FROM x, md),
+nm AS (SELECT [{', '.join(f"'{c}'" for c in T_COLS)}] AS n),
+st AS (SELECT range AS i, var_pop(l[range + 1]) AS v, coalesce(var_samp(raw[range + 1]), 0) AS raw FROM m, range({len(T_COLS)}) GROUP BY 1),
+pr AS (SELECT a.i AS i, b.i AS j, a.raw AS ra, b.raw AS rb, least(a.v, b.v) AS v, corr(l[a.i + 1], l[b.i + 1]) AS r FROM m, st a, st b
+  WHERE a.i < b.i AND a.v > 0 AND b.v > 0 GROUP BY ALL)"""
 
 
-@query("correlation_matrix", "D57", f"""WITH x AS {TSQL},
-m AS (SELECT {', '.join(f'coalesce("{c}", (SELECT median("{c}") FROM x)) AS "{c}"' for c in CORR_COLS)} FROM x)
-{' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM m" for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i + 1:])}""", "r")
+@query("correlation_matrix", "D57", f"WITH {FILLED_SQL} SELECT n[i + 1] AS a, n[j + 1] AS b, r FROM pr, nm", "r")
 def q_corr(spark, sf):
-    return ridge.correlations(ridge.median_filled(user_matrix(spark, sf).select(*CORR_COLS), CORR_COLS), CORR_COLS)
+    return ridge.correlations(ridge.median_filled(user_matrix(spark, sf).select(*T_COLS), T_COLS), T_COLS)
 
 
-@query("redundant_feature_filter", "M13")
+@query("redundant_feature_filter", "M13", f"""WITH {FILLED_SQL}, gone AS (SELECT CASE WHEN rb >= ra THEN i ELSE j END AS i FROM pr WHERE v > 1e-6 AND abs(r) > 0.95)
+SELECT n[i + 1] AS feature, v IS NOT NULL AND v > 1e-6 AND i NOT IN (SELECT i FROM gone) AS kept FROM st, nm""")
 def q_redundant(spark, sf):
-    m = user_matrix(spark, sf)
-    cols = [c for c in T_COLS if "baseline" in c or "pre_4w" in c]
-    kept = ridge.drop_redundant(m.select(*cols), cols)
-    return spark.createDataFrame([(c, c in kept) for c in cols], "feature string, kept boolean")
+    """All 42 features: those that vary and are not a near copy of a more variable one."""
+    kept = ridge.drop_redundant(user_matrix(spark, sf).select(*T_COLS), T_COLS)
+    return spark.createDataFrame([(c, c in kept) for c in T_COLS], "feature string, kept boolean")
 
 
 # ------------------------------------------------------------------ folds and models
