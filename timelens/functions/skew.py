@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that one ordered slice holds on average, and slices at most (the cut points travel with every row).
-SLICE_ROWS = 250_000
-MAX_SLICES = 1024
+from ..session import materialize
+
+#: Rows that one window of running sums sorts; the number of windows follows the rows without a ceiling.
+CHUNK_ROWS = 250_000
 
 
 def skewed_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -21,53 +22,61 @@ def skewed_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     return big.join(small, keys, how)
 
 
-def slice_count(rows: int, slice_rows: int = SLICE_ROWS) -> int:
-    return max(1, min(MAX_SLICES, -(-rows // slice_rows)))
-
+def in_order(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
+    """Rows in global order, written once, each with its range partition ``_slice`` and its place ``_at`` from 0 inside it.
 
-def _slices(df: DataFrame, order: str, parts: int | None) -> DataFrame:
-    """Tag rows with a slice number that grows with ``order``: equi-depth cut points, as many as the rows ask for."""
-    parts = parts or slice_count(df.count())
-    if parts == 1:
-        return df.withColumn("_slice", F.lit(0))
-    cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).scalar()
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
-    return df.withColumn("_cuts", cuts).withColumn("_slice", F.coalesce(below, F.lit(0))).drop("_cuts")
+    Spark samples the range bounds and adaptive execution joins small neighbours, so tasks follow the bytes and nothing is
+    counted first. Bounds differ from run to run, hence the table is written before anything is derived from it. Rows that
+    are equal in all of ``order`` are split by the task they come from, so a hot value is no task of its own. ``parts``
+    sets the number of ranges by hand.
+    """
+    keys = [*order, "_from"]
+    tagged = df.withColumn("_from", F.spark_partition_id())
+    ranges = tagged.repartitionByRange(parts, *keys) if parts else tagged.repartitionByRange(*keys)
+    # The low 33 bits of the id count the rows of a task; after the sort that is the place in the slice.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return materialize(ranges.sortWithinPartitions(*keys).select(
+        *df.columns, F.spark_partition_id().alias("_slice"), place.alias("_at")), "in_order")
+
+
+def _before(totals: DataFrame, group: list[str], order: list[str], values: list[str]) -> list[Column]:
+    """Sums of ``values`` over the earlier totals of the group: one row a slice or chunk is all that is sorted here."""
+    over = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy(*order)
+    back = over.rowsBetween(Window.unboundedPreceding, -1)
+    return [F.coalesce(F.sum(v).over(back), F.lit(0)) for v in values]
 
 
 def running_totals(df: DataFrame, group: list[str], order: str, values: list[str], parts: int | None = None,
-                   prefix: str = "before_") -> DataFrame:
+                   prefix: str = "before_", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Exact sums of ``values`` over rows of the group strictly below the current ``order``.
 
-    ``df`` holds one row per (group, order). A window over a whole group would sort it in one
-    task, so the order axis is cut into slices whose number follows the rows: totals per slice
-    give each slice its offset and a window runs inside each slice. ``parts`` sets the number by hand.
+    ``df`` holds one row per (group, order). A window over a whole group would sort it in one task; here the rows lie in
+    range partitions, each cut into chunks of ``chunk_rows``. A prefix pass over the totals of chunks gives each its
+    offset, and a window runs inside each chunk.
     """
-    sliced = _slices(df, order, parts)
-    keys = [*group, "_slice"]
-    totals = sliced.groupBy(*keys).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    over = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy("_slice")
-    back = over.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, *[F.coalesce(F.sum(f"_t_{v}").over(back), F.lit(0)).alias(f"_o_{v}")
-                                     for v in values])
-    inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = null_safe_join(sliced, offsets, keys)
+    placed = in_order(df, [*group, order], parts).withColumn("_chunk", F.floor(F.col("_at") / chunk_rows))
+    keys = [*group, "_slice", "_chunk"]
+    totals = placed.groupBy(*keys).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    sums = _before(totals, group, ["_slice", "_chunk"], [f"_t_{v}" for v in values])
+    offsets = totals.select(*keys, *[s.alias(f"_o_{v}") for s, v in zip(sums, values)])
+    inside = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    joined = null_safe_join(placed, offsets, keys)
     return joined.select(
         *df.columns,
         *[(F.col(f"_o_{v}") + F.coalesce(F.sum(v).over(inside), F.lit(0))).alias(f"{prefix}{v}") for v in values])
 
 
 def ranked(df: DataFrame, group: list[str], order: str, tie: str, name: str = "rank", parts: int | None = None) -> DataFrame:
-    """Row number inside each group by (``order``, ``tie``) without one task per group."""
-    sliced = _slices(df, order, parts)
+    """Row number inside each group by (``order``, ``tie``): one range shuffle, no window over rows.
+
+    A row's number is its place in its slice, less the place where its group starts there, plus the rows that the group
+    has in earlier slices. Rows equal in group, order and tie get different numbers in no fixed order.
+    """
+    placed = in_order(df, [*group, order, tie], parts)
     keys = [*group, "_slice"]
-    over = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy("_slice")
-    offsets = (sliced.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-               .select(*keys, F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)),
-                                         F.lit(0)).alias("_o")))
-    inside = Window.partitionBy(*keys).orderBy(order, tie)
-    return (null_safe_join(sliced, offsets, keys)
-            .select(*df.columns, (F.row_number().over(inside) + F.col("_o")).alias(name)))
+    sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    offsets = sizes.select(*keys, (_before(sizes, group, ["_slice"], ["_n"])[0] - F.col("_first") + 1).alias("_o"))
+    return null_safe_join(placed, offsets, keys).select(*df.columns, (F.col("_at") + F.col("_o")).alias(name))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
