@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..constants import FOLDS, SEED
 from ..functions.skew import seeded_order, ranked
 from ..operators import ranking
+from ..operators.quantiles import exact_quantiles
 from ..session import materialize
 
 
@@ -58,9 +59,10 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def median_filled(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Missing values replaced by the column median."""
-    q = df.agg(*[F.median(c).alias(c) for c in columns]).first()
-    return df.select(*[c for c in df.columns if c not in columns], *[F.coalesce(c, F.lit(q[c])).alias(c) for c in columns])
+    """Missing values replaced by the column median, exact for all columns in the same passes."""
+    q = exact_quantiles(df, columns, [0.5])
+    return df.select(*[c for c in df.columns if c not in columns],
+                     *[F.coalesce(F.col(c), F.lit(q[c][0]).cast("double")).alias(c) for c in columns])
 
 
 def drop_redundant(df: DataFrame, columns: list[str], min_variance: float = 1e-6, max_r: float = 0.95) -> list[str]:
