@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DISPARITY_LIMIT, SUBGROUPS
-from ..functions.skew import first_n_per_key, ranked, running_totals, skewed_join
+from ..functions.skew import first_n_per_key, in_order, ranked, running_totals, skewed_join
 
 
 def errors(df: DataFrame, truth: str = "y", pred: str = "p") -> DataFrame:
@@ -121,6 +124,48 @@ def ordered_fingerprint(df: DataFrame, order: str, value: str, block: int = 1000
     return rows.select(F.substring("_v", 1, 8).alias("fingerprint"))
 
 
+def list_hash(df: DataFrame, order: str, value: str, digits: int = 8) -> DataFrame:
+    """First hex digits of the MD5 of the JSON list of the numbers in order, as a training log states it.
+
+    That digest is one sequence by definition and cannot be joined from parts: rows are put in order by all tasks, then one
+    task streams them through the digest with the memory of a batch. For tables too long for that, ``ordered_fingerprint``
+    and ``fingerprint`` spread the work. A null is written ``null``; no rows are the list ``[]``.
+    """
+    def stream(batches):
+        state, gap = hashlib.md5(b"["), ""
+        for pdf in batches:
+            for v in pdf["_v"]:
+                state.update((gap + (json.dumps(v) if v == v and v is not None else "null")).encode())
+                gap = ", "
+        state.update(b"]")
+        yield pd.DataFrame({"data_hash": [state.hexdigest()[:digits]], "_some": [gap != ""]})
+
+    placed = in_order(df.select(F.col(order).alias("_k"), F.col(value).cast("double").alias("_v")), ["_k", "_v"])
+    hashed = (placed.repartition(1).sortWithinPartitions("_slice", "_at").select("_v")
+              .mapInPandas(stream, "data_hash string, _some boolean"))
+    none = df.sparkSession.range(1).select(F.lit(hashlib.md5(b"[]").hexdigest()[:digits]).alias("data_hash"), F.lit(False).alias("_some"))
+    # A table without rows may have no task at all, so the digest of the empty list stands by.
+    return hashed.unionByName(none).agg(F.coalesce(F.max(F.when(F.col("_some"), F.col("data_hash"))), F.max("data_hash")).alias("data_hash"))
+
+
+def run_record(scored: DataFrame, model_type: str, features: int, rules: dict[str, dict[str, Column]] | None = None,
+               truth: str = "y", pred: str = "p", key: str = "id", limit: float = DISPARITY_LIMIT) -> DataFrame:
+    """The training-log row of one fitted model from its scored rows, without the number that the log gives it.
+
+    Errors and rankings are rounded to five places; a group whose largest difference is above ``limit`` counts as a flag.
+    """
+    fit = errors(scored, truth, pred).first()
+    audit = fairness(scored, subgroup_rules() if rules is None else rules, truth, pred)
+    flags = disparity(audit, limit).agg(F.count_if("flagged")).scalar()
+    return scored.agg(
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("trained_at"), F.lit(model_type).alias("model_type"),
+        F.count(F.lit(1)).alias("samples"), F.lit(features).cast("long").alias("features"),
+        F.round(F.lit(fit["rmse"]).cast("double"), 5).alias("rmse"), F.round(F.lit(fit["mae"]).cast("double"), 5).alias("mae"),
+        F.round(F.lit(spearman(scored, truth, pred).first()[0]).cast("double"), 5).alias("spearman"),
+        F.round(F.lit(ndcg(scored, truth, pred, tie=key).first()[0]).cast("double"), 5).alias("ndcg5"),
+        F.lit(list_hash(scored, key, truth).first()[0]).alias("data_hash"), flags.cast("long").alias("fairness_flags"))
+
+
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """Order-free fingerprint at any scale: row count and sum of 60-bit row digests, in which equal rows do not cancel."""
     digest = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])), 1, 15), 16, 10)

@@ -11,7 +11,7 @@ from ..session import materialize, shared_dir
 from ..sources import tables
 from ..streaming import ingest
 from . import views as v
-from .metrics_q import FEATS, features
+from .metrics_q import FAIR_SQL, FEATS, features
 from .registry import query
 from .sources_q import INTER, interaction_json
 from .timeline import STY, TEMP, delta_cols, deltas_sql, window_cols
@@ -353,15 +353,22 @@ def q_cal(spark, sf):
     return metrics.calibration(v.table(spark, sf, "events").withColumn("std", F.col("value") / 500), "std")
 
 
-@query("run_log", "A11 D52 D54", f"""WITH {INTERACTIONS}, e AS (SELECT count(*) AS samples, sqrt(avg((y - p) * (y - p))) AS rmse FROM ix)
-SELECT range + 1 AS run, samples, rmse FROM e, range(3)""", "rmse")
+@query("run_log", "A11 D52 D54", f"""WITH {INTERACTIONS}, {FAIR_SQL}, e AS (SELECT count(*) AS samples, sqrt(avg((y - p) * (y - p))) AS rmse, avg(abs(y - p)) AS mae FROM ix),
+r AS (SELECT rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS a, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS b FROM ix),
+o AS (SELECT y, row_number() OVER (ORDER BY p DESC, id) AS got, row_number() OVER (ORDER BY y DESC, id) AS best FROM ix),
+g AS (SELECT sum(CASE WHEN got <= 5 THEN (2 ** y - 1) / log2(got + 1) END) AS dcg, sum(CASE WHEN best <= 5 THEN (2 ** y - 1) / log2(best + 1) END) AS idcg FROM o),
+m AS (SELECT "group", max(mean_pred) - min(mean_pred) AS gap FROM fair GROUP BY 1)
+SELECT range + 1 AS run, 'plain' AS model_type, samples, {len(MATCH_FEATURES)} AS features, round(rmse, 5) AS rmse, round(mae, 5) AS mae,
+  (SELECT round(corr(a, b), 5) FROM r) AS spearman, (SELECT round(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 1 END, 5) FROM g) AS ndcg5,
+  (SELECT substr(md5('[' || string_agg(CAST(y AS VARCHAR), ', ' ORDER BY id) || ']'), 1, 8) FROM ix) AS data_hash,
+  (SELECT count(*) FROM m WHERE round(gap, 4) > 0.15) AS fairness_flags FROM e, range(3)""", "rmse mae spearman ndcg5")
 def q_runs(spark, sf):
+    """Three runs of one log; the time of training is left out of the comparison."""
     path = shared_dir(spark, "runs")
-    ix = v.interactions(spark, sf)
-    run = materialize(ix.agg(F.count(F.lit(1)).alias("samples"), F.sqrt(F.avg((F.col("y") - F.col("p")) ** 2)).alias("rmse")), "run")
+    run = materialize(ranking.run_record(v.interactions(spark, sf), "plain", len(MATCH_FEATURES)), "run")
     for _ in range(3):
         log = tables.append_run(spark, path, run)
-    return log
+    return log.drop("trained_at")
 
 
 # ------------------------------------------------------------------ streaming

@@ -273,6 +273,12 @@ def q_ofp(spark, sf):
     return ranking.ordered_fingerprint(v.table(spark, sf, "orders"), "o_orderkey", "o_orderkey")
 
 
+@query("ordered_list_hash", "D54", f"""WITH {INTERACTIONS} SELECT substr(md5('[' || string_agg(CAST(y AS VARCHAR), ', ' ORDER BY id) || ']'), 1, 8) AS data_hash FROM ix""")
+def q_lhash(spark, sf):
+    """The labels in id order as one JSON list, digested as defined."""
+    return ranking.list_hash(v.interactions(spark, sf), "id", "y")
+
+
 @query("pairwise_weights", "M19 C7 H21", f"""WITH {INTERACTIONS},
 c AS (SELECT y, p, count(*)::DOUBLE AS n FROM ix GROUP BY 1, 2),
 l AS (SELECT a.y, a.p, sum(CASE WHEN a.y > b.y THEN -b.n * (1 / (1 + exp(a.p - b.p))) * (a.y - b.y) WHEN a.y < b.y THEN b.n * (1 / (1 + exp(b.p - a.p))) * (b.y - a.y) ELSE 0 END) AS lam
