@@ -9,6 +9,7 @@ from ..learn import crossval, encode, folds, many, models, resample, ridge, tfid
 from ..operators import linguistic, matrix, metrics, ranking, semantic, style, temporal, zscore
 from ..session import materialize, shared_dir
 from ..sources import tables
+from ..sources.keyed import KeyedTable
 from ..streaming import ingest
 from . import views as v
 from .metrics_q import FAIR_SQL, FEATS, features
@@ -407,6 +408,15 @@ def q_collect(spark, sf):
     return spark.read.parquet(f"{root}/out").select("author", "id", "created_utc")
 
 
+@query("stream_collect_keyed", "S2 A3", COLLECT)
+def q_collect_keyed(spark, sf):
+    root = shared_dir(spark, "collect")
+    posts = landed_twice(spark, sf, root)
+    table = KeyedTable(spark, f"{root}/table", posts.schema, "id", split_rows=100_000)
+    ingest.collect_keyed(posts, table, f"{root}/chk").awaitTermination()
+    return table.read().select("author", "id", "created_utc")
+
+
 @query("stream_collect_watermark", "S2", COLLECT)
 def q_watermark(spark, sf):
     root = shared_dir(spark, "dedup")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from ..sources import landed, merge, tables
+from ..sources.keyed import KeyedTable
 from . import views as v
 from .registry import query
 from .timeline import DIRTY
@@ -42,6 +43,20 @@ def q_append(spark, sf):
     return tables.append_keep_first(have, twice, "id", [F.col("created_utc"), F.col("title")])
 
 
+@query("keyed_table_append", "A3 C10", f"""WITH {DIRTY},
+have AS (SELECT id, title, created_utc, 'early' AS origin FROM posts WHERE score >= 40)
+SELECT * FROM have UNION ALL SELECT id, title, created_utc, 'late' FROM dirty WHERE id NOT IN (SELECT id FROM have)""")
+def q_keyed(spark, sf):
+    """Three appends to one keyed table: high scores, then every landed post twice; what was there first stays."""
+    cols = ["id", "title", "created_utc"]
+    early = v.posts(spark, sf).filter("score >= 40").select(*cols, F.lit("early").alias("origin"))
+    late = v.dirty_posts(spark, sf).select(*cols, F.lit("late").alias("origin"))
+    table = KeyedTable(spark, shared_dir(spark, "keyed"), late.schema, "id", split_rows=100_000)
+    for batch in (early, late, late):
+        table.append(batch, [F.col("created_utc"), F.col("title")])
+    return table.read()
+
+
 def with_members(json, **tokens):
     """``json`` (text of an object) with more members, whose values are JSON text; a null token adds nothing."""
     more = [F.concat(F.lit(f',"{name}":'), token) for name, token in tokens.items()]

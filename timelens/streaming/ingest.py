@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.skew import first_per_key
+from ..sources.keyed import KeyedTable
 from ..sources.landed import flatten_interactions
 from ..schema import INTERACTION
 
@@ -80,3 +81,15 @@ def collect_exact(spark: SparkSession, posts: DataFrame, sink: str, checkpoint:
             batch.unpersist()
 
     return (posts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def collect_keyed(posts: DataFrame, table: KeyedTable, checkpoint: str) -> StreamingQuery:
+    """Exact keep-first append for a long history: a batch reads the keys of the leaves that its own keys fall into.
+
+    The table remembers the last batch it holds, so a batch that is run again after a failure changes nothing. Of copies in
+    one batch the oldest stays, as in ``collect_exact``.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        table.append(batch, [F.col("created_utc"), *[F.col(c) for c in batch.columns if c not in (table.key, "created_utc")]], batch_id)
+
+    return posts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
