@@ -1,7 +1,9 @@
 import hashlib
 import random
 
-from timelens.llm.fingerprints import edit_test, fingerprints
+from pyspark.sql import functions as F
+
+from timelens.llm.fingerprints import PLACE, edit_test, fingerprints
 
 from .conftest import prose, row
 
@@ -64,3 +66,14 @@ def test_one_row_and_none(ready_spark, edge, empty):
     got = edit_test(ready_spark.createDataFrame([row(1, "abcd")], edge.schema)).first()
     assert got.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and got.near_next == 1.0
     assert edit_test(empty).count() == 0
+
+
+def test_every_place_of_the_longest_string_fits():
+    """Tokens take two bytes at least: a character and a space, or three bytes of a script without spaces."""
+    assert PLACE >= (2 ** 31 - 1) // 2 and PLACE < 2 ** 31
+
+
+def test_places_of_a_long_text_rise(ready_spark):
+    df = ready_spark.range(1).select(F.lit(1).alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda i: F.hex(i % 997)), " ").alias("text"))
+    places = [r.place for r in fingerprints(df).first().kept]
+    assert places == sorted(set(places)) and places[-1] > 199_980

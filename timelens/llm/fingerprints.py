@@ -3,8 +3,9 @@
 A text's tokens are hashed, every run of ``k`` tokens gets a rolling hash (cyclic polynomial: the hash of a run is made
 from those of its two halves by one rotation and one exclusive or), and of every ``w`` consecutive runs the one with the
 smallest hash is kept, the rightmost of equal ones, with its place. Two texts that share ``w + k - 1`` tokens in a row
-therefore share a kept hash. A run's hash (40 bits) and its place (24 bits) stand in one long, so that the smallest long of
-a window is its winnowed run; window minima are found by doubling, in log2(w) passes.
+therefore share a kept hash. A run's hash (34 bits) and its place (30 bits) stand in one long, so that the smallest long of
+a window is its winnowed run; window minima are found by doubling, in log2(w) passes. A string has less than 2^31 bytes and
+a token with what divides it from the next one at least two, so 30 bits hold every place.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from .common import query, table
 
 #: A token is one character of a script without spaces, or up to 32 other characters without white space.
 TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}]{1,32}"
-PLACE_BITS = 24
+PLACE_BITS = 30
 PLACE = (1 << PLACE_BITS) - 1
 
 
