@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..constants import BASE_FEATURES, CROSSES, LABELS, MATCH_FEATURES, PROVIDER_FLAGS, SUBGROUPS
 from ..functions import scalar as sc
-from ..operators import match, metrics, ranking
+from ..operators import catalog_search, match, metrics, ranking
 from ..session import shared_dir
 from ..sources import tables
 from . import views as v
@@ -434,6 +434,13 @@ def q_rule(spark, sf):
     return of.join(scored, "profile").drop("profile")
 
 
+@query("top_providers_by_request", "M26 C6 F2", f"""WITH {CATALOG_SQL}, s AS (SELECT id, provider_id, {RULE_SQL} AS score FROM req, cat)
+SELECT id, rank, provider_id, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, provider_id) AS rank FROM s) WHERE rank <= 5""")
+def q_best_providers(spark, sf):
+    """Five best providers of every request by search in the catalog's block tree."""
+    return catalog_search.top_providers(requests(spark, sf), catalog(spark, sf))
+
+
 PF = {"insuranceMatch": "(ins = 'any' OR list_contains(p_ins, ins))",
       "insurancePartial": "(NOT list_contains(p_ins, ins) AND (list_contains(p_ins, 'sliding_scale') OR list_contains(p_ins, 'uninsured')))",
       "ageMatch": "(age = 'any' OR list_contains(p_ages, age))", "telehealthMatch": TELE, "languageMatch": LANG, "genderMatch": "(gen = 'any')"}
@@ -451,6 +458,14 @@ def q_pairf(spark, sf):
                                         *[(F.sum(F.col(c) * n) / F.sum(n)).alias(c) for c in PO])
 
 
+@query("provider_feature_totals", "M27 C6 H17", f"""WITH {CATALOG_SQL}, s AS (SELECT provider_id, {', '.join(f'{e} AS "{n}"' for n, e in PF.items())},
+  {', '.join(f'CASE WHEN len({a}) > 0 THEN round({OV.format(a, b)}, 3) ELSE {d} END AS "{n}"' for n, (a, b, d) in PO.items())} FROM req, cat)
+SELECT provider_id, {', '.join(f'count(*) FILTER ("{n}") AS "{n}"' for n in PF)}, {', '.join(f'avg("{n}") AS "{n}"' for n in PO)} FROM s GROUP BY provider_id""", list(PO))
+def q_feature_totals(spark, sf):
+    """The same totals from inverted lists, no pair formed."""
+    return catalog_search.feature_totals(requests(spark, sf), catalog(spark, sf))
+
+
 @query("softmax_margin", "H16", f"""WITH {SCORES}, s AS (SELECT id, max(score) FILTER ("class" = 'crisis') AS a, max(score) FILTER ("class" = 'recovery') AS b, max(score) FILTER ("class" = 'neither') AS c FROM scores GROUP BY id),
 e AS (SELECT id, exp((a - greatest(a,b,c)) / 0.1) AS x, exp((b - greatest(a,b,c)) / 0.1) AS y, exp((c - greatest(a,b,c)) / 0.1) AS z FROM s)
 SELECT id, list_reverse_sort([x,y,z])[1] / (x+y+z) AS confidence, (list_reverse_sort([x,y,z])[1] - list_reverse_sort([x,y,z])[2]) / (x+y+z) AS margin FROM e""", "confidence margin")
