@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..constants import BASE_FEATURES, CROSSES, LABELS, MATCH_FEATURES, PROVIDER_FLAGS, SUBGROUPS
 from ..functions import scalar as sc
-from ..operators import catalog_search, match, metrics, ranking
+from ..operators import catalog_search, match, metrics, pair_gradients, ranking
 from ..session import shared_dir
 from ..sources import tables
 from . import views as v
@@ -297,6 +297,17 @@ def q_gpair(spark, sf):
     return ranking.pair_weights(v.interactions(spark, sf).select("id", "y", "p", "group"), group="group")
 
 
+@query("pairwise_weights_continuous", "M19 C7", """WITH ix AS (SELECT c_custkey AS id, c_acctbal / 1000 AS y, (c_custkey * 7919 % 100003) / 1000.0::DOUBLE AS p, c_mktsegment AS grp FROM customer),
+l AS (SELECT a.id, sum(CASE WHEN a.y > b.y THEN -(1 / (1 + exp(a.p - b.p))) * (a.y - b.y) WHEN a.y < b.y THEN (1 / (1 + exp(b.p - a.p))) * (b.y - a.y) ELSE 0 END) AS lam
+  FROM ix a JOIN ix b ON a.grp = b.grp GROUP BY 1), w AS (SELECT id, abs(lam) + 1 AS raw FROM l)
+SELECT id, raw / (SELECT avg(raw) FROM w) AS weight FROM w""", "weight")
+def q_cpair(spark, sf):
+    """Nearly as many labels as rows, predictions over a hundred cells."""
+    c = v.table(spark, sf, "customer")
+    rows = c.select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 1000).alias("y"), (F.col("c_custkey") * 7919 % 100003 / 1000.0).alias("p"), F.col("c_mktsegment").alias("group"))
+    return pair_gradients.pair_weights(rows, group="group")
+
+
 # ------------------------------------------------------------------ matching
 FLAG = lambda c: f"CASE WHEN {c} THEN 1.0 ELSE 0.0 END"
 BASE_SQL = {
