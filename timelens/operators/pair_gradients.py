@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.skew import in_order, running_totals
+from ..session import materialize
 
 #: Terms of the series, cells beyond which the curve is 0 or 1 to the last bit of a double, distinct rows a chunk.
 TERMS, REACH, CHUNK = 16, 40, 512
@@ -53,8 +54,8 @@ def pair_gradients(df: DataFrame, truth: str, pred: str, group: str, sigma: floa
     t = 2.0 * (p * sigma - F.col("_k")) - 1.0
     names = [f"{kind}{b}" for kind in "mw" for b in range(TERMS)]
     curve = [F.cos(b * F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), t)))) for b in range(TERMS)]
-    moments = placed.groupBy("_g", "_b", "_k").agg(
-        *[F.sum(F.col("_c") * curve[b]).alias(f"m{b}") for b in range(TERMS)], *[F.sum(F.col("_c") * y * curve[b]).alias(f"w{b}") for b in range(TERMS)])
+    moments = materialize(placed.groupBy("_g", "_b", "_k").agg(
+        *[F.sum(F.col("_c") * curve[b]).alias(f"m{b}") for b in range(TERMS)], *[F.sum(F.col("_c") * y * curve[b]).alias(f"w{b}") for b in range(TERMS)]), "moments")
 
     # What every cell receives from the cells in reach, as series of its own, chunk by chunk.
     width = 2 * REACH + 1
@@ -76,7 +77,7 @@ def pair_gradients(df: DataFrame, truth: str, pred: str, group: str, sigma: floa
     keys = [f for f in sent.schema.fields if f.name in ("_g", "_b", "_k")]
     shape = T.StructType([next(f for f in keys if f.name == c) for c in ("_g", "_b", "_k")] + [T.StructField(n, T.DoubleType()) for n in names])
     # Every chunk that holds rows of a cell asks there, so it is present with zeros at least.
-    heard = sent.select("_g", "_b", "_k", "_from", *names).mapInPandas(pass_on, shape).groupBy("_g", "_k", "_b").agg(*_sum_of(names))
+    heard = materialize(sent.select("_g", "_b", "_k", "_from", *names).mapInPandas(pass_on, shape).groupBy("_g", "_k", "_b").agg(*_sum_of(names)), "heard")
     curves = _around(heard, ["_g", "_k"], names)
     curves = null_safe(curves, moments.select("_g", "_b", "_k"), ["_g", "_b", "_k"])
     curves = _with_far(curves, moments.select("_g", "_b", "_k", F.col("m0").alias("fm"), F.col("w0").alias("fw")))
@@ -102,7 +103,7 @@ def pair_gradients(df: DataFrame, truth: str, pred: str, group: str, sigma: floa
     rows = placed.select("_g", "_y", "_p", "_c", "_b", "_k")
     done = (rows.groupBy("_b", "_g").cogroup(curves.groupBy("_b", "_g"))
             .applyInPandas(settle, T.StructType([placed.schema["_g"], T.StructField("_y", T.DoubleType()), T.StructField("_p", T.DoubleType()), T.StructField("lam", T.DoubleType())])))
-    return done.select(F.col("_g").alias(group), F.col("_y").alias(truth), F.col("_p").alias(pred), "lam")
+    return materialize(done, "pair_gradients").select(F.col("_g").alias(group), F.col("_y").alias(truth), F.col("_p").alias(pred), "lam")
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -144,7 +145,7 @@ def _with_far(curves: DataFrame, masses: DataFrame) -> DataFrame:
     asks = asks.select("_g", "_b", "_k", "_l", F.explode(F.array_compact(F.array(
         F.when(F.col("_at") % 2 == 0, F.col("_at") + 1), F.when(F.col("_l") == 0, F.col("_at"))))).alias("_n"))
     marks = asks.select("_g", "_b", "_l", "_n").distinct().withColumn("fm", F.lit(0.0)).withColumn("fw", F.lit(0.0))
-    sums = held.unionByName(marks).groupBy("_g", "_l", "_n", "_b").agg(*_sum_of(["fm", "fw"]))
+    sums = materialize(held.unionByName(marks).groupBy("_g", "_l", "_n", "_b").agg(*_sum_of(["fm", "fw"])), "far_sums")
     around = _around(sums, ["_g", "_l", "_n"], ["fm", "fw"])
     names = [f"{side}_{n}" for side in ("under", "over") for n in ("fm", "fw")]
     got = null_safe(asks, around, ["_g", "_l", "_n", "_b"]).groupBy("_g", "_b", "_k").agg(*_sum_of(names))
