@@ -65,7 +65,7 @@ def test_search_opens_few_listings(spark):
     """Twenty times the catalog, far less than twenty times the listings looked at."""
     def looked_at(n):
         reqs, provs = tables(spark, 40, n, 3)
-        profiles = reqs.withColumnRenamed("id", "profile")
+        profiles = cs.at_root(reqs.withColumnRenamed("id", "profile"))
         levels = cs.block_levels(cs.listings(provs, 3), 8)
         return cs.candidates(cs.thresholds(profiles, levels, 3), levels).count() / 40
 

@@ -65,18 +65,24 @@ def _score(kid: Column) -> Column:
     return rule_score({c: F.col(c) for c in ASKED}, {c: kid[c] for c in LISTING}).cast("int")
 
 
+def at_root(profiles: DataFrame) -> DataFrame:
+    """``profiles`` with the address of the root, written once, so that every step, the first too, is an equality join."""
+    return materialize(profiles.withColumn("s", F.lit(0).cast("long")).withColumn("a", F.lit(0).cast("long")), "request_profiles")
+
+
 def thresholds(profiles: DataFrame, levels: list[DataFrame], k: int, key: str = "profile", paths: int = PATHS) -> DataFrame:
     """``profiles`` with ``t_score, t_id``: score and id of a k-th best provider found on the best-bound paths, null if they hold fewer.
 
     The ``paths`` best blocks under the root are each followed down by the best bound, those with ``k`` ids before others. A step is
     one join with a level; the next block is chosen inside the row.
     """
-    at = profiles.withColumn("s", F.lit(0).cast("long")).withColumn("a", F.lit(0).cast("long"))
+    keep = [c for c in profiles.columns if c not in ("s", "a")]
+    at = profiles
     for depth, level in enumerate(levels[:-1]):
         ranked = F.array_sort(F.transform("kids", lambda x: F.struct((x["n"] < k).alias("few"), F.negative(_score(x)).alias("b"), x["low"].alias("l"),
                                                                      x["s"].alias("s"), x["a"].alias("a"))))
         best = F.explode(F.slice(ranked, 1, 1 if depth else paths))
-        at = skewed_join(at, level, ["s", "a"]).select(*profiles.columns, best.alias("_best")).select(*profiles.columns, "_best.s", "_best.a")
+        at = skewed_join(at, level, ["s", "a"]).select(*keep, best.alias("_best")).select(*keep, "_best.s", "_best.a")
     found = F.array_sort(F.flatten(F.transform("kids", lambda x: F.transform(x["ids"], lambda i: F.struct(F.negative(_score(x)).alias("m"), i.alias("i"))))))
     ends = skewed_join(at, levels[-1], ["s", "a"]).select(key, F.slice(found, 1, k).alias("_found"))
     kth = ends.groupBy(key).agg(F.try_element_at(F.array_sort(F.flatten(F.collect_list("_found"))), F.lit(k)).alias("_kth"))
@@ -86,8 +92,8 @@ def thresholds(profiles: DataFrame, levels: list[DataFrame], k: int, key: str =
 def candidates(profiles: DataFrame, levels: list[DataFrame], key: str = "profile") -> DataFrame:
     """``(key, score, ids)`` of every listing that a profile with ``t_score, t_id`` has to look at: its bound at every level
     is above the threshold, or equal with a smaller or the same id inside."""
-    at = profiles.withColumn("s", F.lit(0).cast("long")).withColumn("a", F.lit(0).cast("long"))
-    keep = [c for c in profiles.columns]
+    keep = [c for c in profiles.columns if c not in ("s", "a")]
+    at = profiles
     for level in levels:
         opened = skewed_join(at, level, ["s", "a"]).select(*keep, F.explode("kids").alias("kid")).withColumn("score", _score(F.col("kid")))
         open_ = opened.where((F.col("t_score").isNull()) | (F.col("score") > F.col("t_score"))
@@ -104,7 +110,7 @@ def top_providers(requests: DataFrame, providers: DataFrame, k: int = 5, key: st
     """
     digest = F.sha2(F.to_json(F.struct(*[F.coalesce(F.to_json(F.struct(c)), F.lit("")) for c in ASKED])), 256)
     tagged = requests.select(key, *ASKED).withColumn("profile", digest)
-    profiles = materialize(first_n_per_key(tagged.select("profile", *ASKED), ["profile"], [F.lit(1)], 1), "request_profiles")
+    profiles = at_root(first_n_per_key(tagged.select("profile", *ASKED), ["profile"], [F.lit(1)], 1))
     levels = block_levels(listings(providers, k), fan)
     near = materialize(thresholds(profiles, levels, k), "thresholds")
     rows = candidates(near, levels).select("profile", "score", F.explode("ids").alias("provider_id"))
