@@ -1,10 +1,13 @@
-"""Distinct tokens per span, large lexicons and weekly series without row-per-token or row-per-week shuffles."""
+"""Distinct tokens per span, large lexicons, weekly series, centroids and phrase search: same results, work that follows the input."""
 
 import io
 from contextlib import redirect_stdout
 from datetime import datetime, timedelta
 
-from timelens.operators import linguistic, weekly
+from pyspark.sql import functions as F
+
+from timelens.functions import text as tx
+from timelens.operators import linguistic, semantic, weekly
 
 
 def plan(df):
@@ -63,3 +66,29 @@ def test_weekly_series_fills_without_a_grid_join(spark):
     assert got == [("", week[0], None), ("", week[1], None), ("", week[2], None), ("a", week[0], 2.0), ("a", week[1], 2.0), ("a", week[2], 2.0),
                    ("a", week[3], 5.0), ("c", week[1], 7.0)]
     assert "Join" not in plan(series)
+
+
+def test_vectors_are_dealt_by_author_before_they_become_rows(spark):
+    anchor = datetime(2024, 6, 1)
+    rows = [("hot" if i % 3 else f"u{i % 8}", f"p{i}", anchor - timedelta(hours=i)) for i in range(300)]
+    posts = spark.createDataFrame(rows, "author string, id string, created_utc timestamp_ntz")
+    labels = spark.createDataFrame([(a, anchor) for a in {r[0] for r in rows}], "author string, anchor timestamp_ntz")
+    vectors = spark.createDataFrame([(f"p{i}", [float(i), float(-i % 7)]) for i in range(300)], "id string, embedding array<float>")
+    made = semantic.window_centroids(posts, labels, vectors, 1)
+    inside = {"baseline": lambda h: h > 96, "pre_4w": lambda h: 0 < h <= 96, "pre_2w": lambda h: 0 < h <= 48, "pre_1w": lambda h: 0 < h <= 24}
+    for r in made.collect():
+        for w, ok in inside.items():
+            xs = [(float(i), float(-i % 7))[r["dim"]] for i, (a, _, _) in enumerate(rows) if a == r["author"] and ok(i)]
+            assert (r[w] is None) if not xs else abs(r[w] - sum(xs) / len(xs)) < 1e-9
+    steps = plan(made)
+    assert steps.index("Generate posexplode") < steps.index("REBALANCE")
+
+
+def test_phrases_are_looked_for_as_substrings_first(spark):
+    texts = ["I Want To Die", "want to  die", None, "", "WANT TO DIE\nx", "\u0130 want to die", "\u212aill me", "kill me", "a+b", "aab", "stra\u00dfe", "STRASSE"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for phrases in (["want to die", "Kill Me"], ["a+b"], ["stra\u00dfe", "kill me"], [], ["it's"]):
+        got = df.select(tx.has_phrase("t", phrases).alias("a"), F.col("t").rlike(tx.phrase_pattern(phrases)).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in got)
+    # The pattern comes after the substrings.
+    assert "exists(array(lower(" in plan(df.filter(tx.has_phrase("t", ["want to die"])))
