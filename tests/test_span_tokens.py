@@ -92,3 +92,27 @@ def test_phrases_are_looked_for_as_substrings_first(spark):
         assert all(r["a"] == r["b"] for r in got)
     # The pattern comes after the substrings.
     assert "exists(array(lower(" in plan(df.filter(tx.has_phrase("t", ["want to die"])))
+
+
+def test_known_words_move_as_numbers(spark):
+    """Frequent words are a byte or two of a post's row, an author that is not hot moves one row a post, and counts stay exact."""
+    from timelens.operators import span_codes
+    words = [f"word{i}" for i in range(40_000)]
+    rows = []
+    for i in range(900):
+        tokens = [words[(i * 31 + j * j * 7) % len(words)] for j in range(i % 90)] + [f"rare{i % 50}", "it's"]
+        rows.append(("hot" if i % 3 else f"u{i % 8}", [-1, i % 4] if i % 5 else [-2], tokens if i % 11 else None))
+    marked = spark.createDataFrame(rows, "author string, codes array<long>, tokens array<string>")
+    want = {}
+    for author, codes, tokens in rows:
+        for c in codes:
+            want.setdefault((author, c), set()).update(tokens or [])
+    want = {k: len(v) for k, v in want.items() if v}
+    for per_task in (10_000, 100):
+        got = linguistic.distinct_counts(marked, 4, per_task, words)
+        assert {(r["author"], r["code"]): r["kinds"] for r in got.collect()} == want
+    known = spark.sparkContext.broadcast(words)
+    packed = marked.select("author", "codes", F.lit(False).alias("_hot"), "tokens").mapInArrow(span_codes.packer(known, 4), f"author string, {span_codes.PACKED}")
+    moved = packed.agg(F.count(F.lit(1)), F.sum(F.length("_known") + F.length("_other"))).first()
+    spelled = sum(len(" ".join(dict.fromkeys(t or []))) for *_, t in rows)
+    assert moved[0] == sum(1 for r in rows if r[2]) and moved[1] < spelled / 2.5
