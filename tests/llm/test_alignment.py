@@ -96,3 +96,19 @@ def test_pair_hash_is_minimal_and_perfect():
         assert sorted(mph.numbers(keys).tolist()) == list(range(len(keys)))
         other = np.setdiff1d(rng.integers(-1 << 62, 1 << 62, 1000), keys)
         assert (mph.numbers(other) == -1).all()
+
+
+def test_texts_are_encoded_once(ready_spark, rows):
+    """The first pass writes each document's linked pairs; the second one reads those and no text."""
+    docs = ready_spark.createDataFrame(rows, SCHEMA).select("doc_id", "text").repartition(2)
+    with open(A, encoding="utf-8") as f, open(B, "rb") as g:
+        shared = ready_spark.sparkContext.broadcast((f.read(), g.read()))
+    encoded = alignment.materialize(alignment._encoded(docs, shared, 1 << 20, True), "test_encoded")
+    assert "text" not in encoded.columns
+    want = expected([r[:2] for r in rows])
+    single = sorted((r.n_a, r.n_b, r.n_groups, int(alignment._unpacked(alignment.pa.array([r.times]), alignment.TIMES)[0].sum()), r.groups)
+                    for r in encoded.where("kind = 0").collect())
+    assert single == sorted((na, nb, ng, links, g) for _, na, nb, ng, links, _, _, g in want)
+    held = ready_spark.sparkContext.broadcast((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(60_000, np.int64)))
+    rare = alignment._looked_up(encoded, held, "groups").where("kind = 1").agg({"n_links": "sum"}).first()[0]
+    assert rare == sum(links for *_, links, _, _, _ in want)

@@ -2,8 +2,9 @@
 
 Both tokenizers cut the same bytes. Where tokens of both end, a group ends; tokens whose byte ranges overlap are linked. First pass:
 every task counts, for the pairs of ids it meets, the documents that hold them. The distinct pairs are dealt into shards, each with a
-minimal perfect hash; counts are dense vectors in the order of the hash, summed over tasks as a tree. Second pass: documents are
-aligned again and look their counts up, each answer verified by the stored key. Pairs beyond ``held_pairs`` of the most frequent
+minimal perfect hash; counts are dense vectors in the order of the hash, summed over tasks as a tree. The first pass also writes each
+document's counts, groups and linked pairs, so texts are encoded once. Second pass: documents' pairs look their counts up, each answer
+verified by the stored key. Pairs beyond ``held_pairs`` of the most frequent
 ones are not sent to the tasks: their few links meet their counts in a join.
 """
 
@@ -34,6 +35,8 @@ TASK_PAIRS, BATCH_BYTES = 1 << 20, 1 << 20
 #: and the longest that it keeps.
 CUT, MAY_END = re.compile(rf"(?<=[!-~{LETTERS[6:]}])(?= )"), re.compile(rf"[!-~{LETTERS[6:]}]")
 KEPT_CUTS, LONGEST_KEPT = 400_000, 48
+#: Types that a document's pairs and their times are written as, the narrowest that holds them; documents that are looked up at a time.
+PAIR, TIMES, LOOKED_UP = (np.int64,), (np.uint8, np.uint16, np.int64), 512
 SLOTS_PER_KEY, LEVELS = 2.0, 40
 
 
@@ -264,25 +267,53 @@ def aligner(file_a: str, model_b: bytes) -> Aligner:
     return Aligner(file_a, model_b)
 
 
-def _partial_counts(docs: DataFrame, shared, task_pairs: int) -> DataFrame:
-    """``pair, docs``: documents of a task that hold the pair; a task hands on at most about ``task_pairs`` pairs at a time."""
+def _encoded(docs: DataFrame, shared, task_pairs: int, whole: bool) -> DataFrame:
+    """Rows of kind 0: a document with its counts, its groups (their SHA-256 without ``whole``) and its distinct linked pairs, how often each
+    occurs beside them; of kind 1: ``pair, docs``, documents of a task that hold the pair. A task hands on at most about
+    ``task_pairs`` pairs at a time.
+    """
     def run(batches):
-        cuts = Cuts(aligner(*shared.value), False)
+        cuts, part, n = Cuts(aligner(*shared.value), True), TaskContext.get().partitionId() << 36, 0
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def counted():
+            m, none = len(keys), [None] * len(keys)
+            longs, raw = pa.array(none, pa.int64()), pa.array(none, pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), longs, longs, longs, longs, longs, pa.array(none, pa.string()), raw, raw, pa.array(keys), pa.array(counts)], names=names)
+
         for batch in batches:
-            texts = text_list(batch.column(0))
+            ids, texts = batch.column(0), text_list(batch.column(1))
             for s, e in steps([len(t) for t in texts], BATCH_BYTES):
-                _, pair, *_, pairs = cuts.align(texts[s:e])
-                here = np.bincount(pair, minlength=len(pairs))
+                doc, which, times, na, nb, groups, shown, pairs = cuts.align(texts[s:e])
+                here = np.bincount(which, minlength=len(pairs))
                 met = np.flatnonzero(here)
                 keys, inv = np.unique(np.concatenate([keys, pairs[met]]), return_inverse=True)
                 counts = np.bincount(inv, np.concatenate([counts, here[met]]), len(keys)).astype(np.int64)
+                k = e - s
+                rid = part + n + np.arange(k)
+                n += k
+                final = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in shown] if not whole else shown
+                ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=k))])
+                none = pa.array([None] * k, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.zeros(k, np.int32)), pa.array(rid), ids[s:e], pa.array(na), pa.array(nb), pa.array(groups), pa.array(final, pa.string()),
+                     _packed(pairs[which], ends, PAIR), _packed(times, ends, TIMES), none, none], names=names)
                 if len(keys) > task_pairs:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["pair", "docs"])
+                    yield counted()
                     keys, counts = keys[:0], counts[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["pair", "docs"])
+        yield counted()
+
+    names = ["kind", "rid", "doc_id", "n_a", "n_b", "n_groups", "groups", "pairs", "times", "pair", "docs"]
+    return docs.select("doc_id", "text").mapInArrow(
+        run, "kind int, rid long, doc_id long, n_a long, n_b long, n_groups long, groups string, pairs binary, times binary, pair long, docs long")
+
 
-    return docs.select("text").mapInArrow(run, "pair long, docs long")
+def _packed(values: np.ndarray, ends: np.ndarray, kinds: tuple) -> pa.Array:
+    """Binary column of runs of whole numbers that end at ``ends``: a byte that names the type, the narrowest of ``kinds`` that holds the batch, then the run."""
+    code = next(i for i, t in enumerate(kinds) if values.max(initial=0) <= np.iinfo(t).max)
+    raw = values.astype(kinds[code]).tobytes()
+    width = np.dtype(kinds[code]).itemsize
+    return pa.array([bytes([code]) + raw[a * width:b * width] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
 
 
 def _load(raw: bytes) -> np.ndarray:
@@ -339,44 +370,45 @@ def pair_counts(partial: DataFrame, shard_pairs: int = SHARD_PAIRS, vector_rows:
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
-def _looked_up(docs: DataFrame, shared, held, whole: bool) -> DataFrame:
+def _unpacked(column: pa.Array, kinds: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of such a column in a row, and the length of each."""
+    runs = [np.frombuffer(x, kinds[x[0]], offset=1) for x in column.to_pylist()]
+    return np.concatenate([np.zeros(0, np.int64), *runs]).astype(np.int64), np.array([*map(len, runs)], np.int64)
+
+
+def _looked_up(encoded: DataFrame, held, last: str) -> DataFrame:
     """Rows of kind 0: a document with what the held pairs give; of kind 1: a document's links to a pair that is not held."""
     def run(batches):
-        cuts, part, n = Cuts(aligner(*shared.value), True), TaskContext.get().partitionId() << 36, 0
         keys, docs_of, best = held.value
         mph, dense = _held(keys.tobytes(), docs_of.tobytes())
         i64 = pa.int64()
-        for batch in batches:
-            ids, texts = batch.column(0), text_list(batch.column(1))
-            for s, e in steps([len(t) for t in texts], BATCH_BYTES):
-                doc, which, times, na, nb, groups, shown, pairs = cuts.align(texts[s:e])
-                met, which = np.unique(which, return_inverse=True)
-                met = pairs[met]
-                at = mph.numbers(met)
-                count_of = np.where(at >= 0, dense[np.maximum(at, 0)] if len(dense) else 0, 0)
-                known, count, pair = (at >= 0)[which], count_of[which], met[which]
-                is_best = known & (count == best[pair >> 32])
-                k = e - s
-                n_best = np.bincount(doc, times * is_best, k).astype(np.int64)
-                # Sums of whole numbers beyond 2^53 would be rounded by bincount's weights.
-                count_sum = np.zeros(k, np.int64)
-                np.add.at(count_sum, doc, times * count)
-                rid = part + n + np.arange(k)
-                n += k
-                final = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in shown] if not whole else shown
+        for batch in (b.slice(at, LOOKED_UP) for b in batches for at in range(0, b.num_rows, LOOKED_UP)):
+            rid, (pairs, n_pairs), (times, _) = batch.column(0).to_numpy(), _unpacked(batch.column(6), PAIR), _unpacked(batch.column(7), TIMES)
+            k = batch.num_rows
+            doc = np.repeat(np.arange(k), n_pairs)
+            met, which = np.unique(pairs, return_inverse=True)
+            at = mph.numbers(met)
+            count_of = np.where(at >= 0, dense[np.maximum(at, 0)] if len(dense) else 0, 0)
+            known, count = (at >= 0)[which], count_of[which]
+            is_best = known & (count == best[pairs >> 32])
+            n_best = np.bincount(doc, times * is_best, k).astype(np.int64)
+            # Sums of whole numbers beyond 2^53 would be rounded by bincount's weights.
+            count_sum = np.zeros(k, np.int64)
+            np.add.at(count_sum, doc, times * count)
+            na, nb, groups = (batch.column(i).to_numpy() for i in (2, 3, 4))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.zeros(k, np.int32)), pa.array(rid), batch.column(1), pa.array(na), pa.array(nb), pa.array(groups), pa.array(na + nb - groups), pa.array(n_best),
+                 pa.array(count_sum), batch.column(5).cast(pa.string()), pa.array([None] * k, i64)], names=names)
+            m = int((~known).sum())
+            if m:
+                none = pa.array([None] * m, i64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(k, np.int32)), pa.array(rid), ids[s:e], pa.array(na), pa.array(nb), pa.array(groups), pa.array(na + nb - groups), pa.array(n_best),
-                     pa.array(count_sum), pa.array(final, pa.string()), pa.array([None] * k, i64)], names=names)
-                m = int((~known).sum())
-                if m:
-                    none = pa.array([None] * m, i64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.ones(m, np.int32)), pa.array(rid[doc[~known]]), none, none, none, none, pa.array(times[~known]), none, none, pa.array([None] * m, pa.string()),
-                         pa.array(pair[~known])], names=names)
-
-    last = "groups" if whole else "groups_sha256"
+                    [pa.array(np.ones(m, np.int32)), pa.array(rid[doc[~known]]), none, none, none, none, pa.array(times[~known]), none, none, pa.array([None] * m, pa.string()),
+                     pa.array(pairs[~known])], names=names)
+
     names = ["kind", "rid", *COLUMNS, last, "pair"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"kind int, rid long, {', '.join(f'{c} long' for c in COLUMNS)}, {last} string, pair long")
+    return (encoded.where("kind = 0").select("rid", "doc_id", "n_a", "n_b", "n_groups", "groups", "pairs", "times")
+            .mapInArrow(run, f"kind int, rid long, {', '.join(f'{c} long' for c in COLUMNS)}, {last} string, pair long"))
 
 
 @lru_cache(1)
@@ -406,8 +438,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     shared = spark.sparkContext.broadcast(files)
     vocabulary = 1 + max(json.loads(files[0])["model"]["vocab"].values())
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    partial = materialize(_partial_counts(chosen, shared, task_pairs), "pair_partial")
-    counts = materialize(pair_counts(partial, shard_pairs, vector_rows), "pair_counts")
+    encoded = materialize(_encoded(chosen, shared, task_pairs, whole), "pair_encoded")
+    counts = materialize(pair_counts(encoded.where("kind = 1").select("pair", "docs"), shard_pairs, vector_rows), "pair_counts")
 
     a_id = F.shiftright("pair", 32).alias("a")
     best = np.zeros(vocabulary, np.int64)
@@ -424,7 +456,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     sent = counts.where(is_held).toArrow()
     held = spark.sparkContext.broadcast((sent["pair"].to_numpy(), sent["docs"].to_numpy(), best))
 
-    made = materialize(_looked_up(chosen, shared, held, whole), "alignments")
+    made = materialize(_looked_up(encoded, held, "groups" if whole else "groups_sha256"), "alignments")
     first = made.where("kind = 0").drop("kind", "pair")
     if least == 0:
         return first.drop("rid")
