@@ -77,3 +77,20 @@ def test_draws_are_poisson(spark):
     w = [x for i in range(500) for x in draws(i, 40)]
     mean = sum(w) / len(w)
     assert abs(mean - 1) < 0.03 and abs(sum((x - mean) ** 2 for x in w) / len(w) - 1) < 0.06
+
+
+def test_draws_are_folded_not_divided():
+    """The remainder modulo the prime is taken exactly, at its edges too, and weights are bytes."""
+    import numpy as np
+    edge = [0, 1, P - 2, P - 1]
+    c = np.array([[a, b, x, y] for a in edge for b in edge for x in edge for y in (0, P - 1)] + [[17 * i * i % P, 99 * i, P - 3 * i, 12345 * i % P] for i in range(1, 200)], np.int64).T
+    got = resample.drawer(90)([*c])
+    assert got.dtype == np.int8
+    for row, have in zip(c.T.tolist(), got.tolist()):
+        want = []
+        for r in range(1, 91):
+            u = row[0]
+            for x in row[1:]:
+                u = (u * r % P + x) % P
+            want.append(sum(u >= t for t in CUT))
+        assert have == want

@@ -24,6 +24,8 @@ TOP = 16
 REACHED = [math.ceil(sum(math.exp(-1.0) / math.factorial(j) for j in range(k + 1)) * PRIME) for k in range(TOP)]
 #: Replicates of one piece of a cell's array, array elements that a task draws at once, and bytes of sums that it holds.
 PIECE, AT_ONCE, HELD = 250, 1 << 20, 64 << 20
+#: Draws whose arithmetic stays in a core's cache.
+DRAWN = 1 << 15
 
 
 def coefficients(key: str, seed: int = SEED) -> list[Column]:
@@ -34,19 +36,35 @@ def coefficients(key: str, seed: int = SEED) -> list[Column]:
 
 def drawer(n_boot: int):
     """Function from four coefficient arrays to the (rows, replicates) weights; it carries all it needs to a task."""
-    at, reached, prime = np.arange(1, n_boot + 1, dtype=np.int64), list(REACHED), PRIME
+    at, reached, prime, block = np.arange(1, n_boot + 1, dtype=np.uint64), list(REACHED), np.uint64(PRIME), max(1, DRAWN // max(1, n_boot))
 
     def draw(c: list[np.ndarray]) -> np.ndarray:
-        u = np.broadcast_to(c[0][:, None], (len(c[0]), len(at)))
-        for x in c[1:]:
-            u = (u * at % prime + x[:, None]) % prime
-        w = np.zeros(u.shape, np.int64)
-        for limit in reached:
-            more = u >= limit
-            if not more.any():
-                break
-            w += more
-        return w
+        out = np.zeros((len(c[0]), len(at)), np.int8)
+        for a in range(0, len(out), block):
+            part = slice(a, a + block)
+            u = np.repeat(c[0][part][:, None].astype(np.uint64), len(at), 1)
+            for x in c[1:]:
+                u *= at
+                u += x[part][:, None].astype(np.uint64)
+                # 2^31 is 1 modulo the prime: a fold keeps the remainder.
+                high = u >> np.uint64(31)
+                u &= prime
+                u += high
+                if n_boot >= 1 << 20:
+                    high = u >> np.uint64(31)
+                    u &= prime
+                    u += high
+            # Below twice the prime; one less than 0 would be a very large number.
+            high = u >> np.uint64(31)
+            u &= prime
+            u += high
+            low, w = np.minimum(u, u - prime).astype(np.int32), out[part]
+            for limit in reached:
+                more = low >= limit
+                if not more.any():
+                    break
+                w += more
+        return out
     return draw
 
 
@@ -171,7 +189,8 @@ def replicate_auc(scores: DataFrame, n_boot: int, seed: int = SEED, key: str = "
                 names = cls[part]
                 new = np.array([i == 0 or names[i] != names[i - 1] or s[i] != s[i - 1] for i in range(len(names))])
                 cuts = np.flatnonzero(new)
-                pos, neg = np.add.reduceat(w * h, cuts, 0), np.add.reduceat(w * (1 - h), cuts, 0)
+                pos, neg = np.add.reduceat(w * h, cuts, 0), np.add.reduceat(w, cuts, 0)
+                neg -= pos
                 for k, i in enumerate(cuts.tolist()):
                     if names[i] != state["class"]:
                         done = list(records())
