@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..constants import FIRST_PERSON, STYLE, UNIT_DAYS, WE_WORDS, WINDOWS, YOU_WORDS
 from ..functions import text as tx
 from ..functions import timefn as tm
-from .linguistic import add_deltas, post_tokens
+from ..functions.scan import text_counts
+from .linguistic import add_deltas
 from .turning_point import attach_age
 
 COUNTS = ["n_tokens", "n_excl", "n_ques", "n_ellip", "n_words", "n_caps", "n_i", "n_we", "n_you", "n_blank",
@@ -17,16 +18,8 @@ COUNTS = ["n_tokens", "n_excl", "n_ques", "n_ellip", "n_words", "n_caps", "n_i",
 
 def style_facts(posts: DataFrame, i_words=FIRST_PERSON, we_words=WE_WORDS, you_words=YOU_WORDS) -> DataFrame:
     """Integer counts per post; window values are ratios of their sums, so the text stays map-side."""
-    t, w = F.col("tokens"), F.col("words")
-    return (post_tokens(posts).withColumn("words", tx.words("text"))
-            .select("author", "id", "created_utc", F.size(t).alias("n_tokens"),
-                    tx.count_char("text", "!").alias("n_excl"), tx.count_char("text", "?").alias("n_ques"),
-                    tx.count_ellipses("text").alias("n_ellip"), F.size(w).alias("n_words"),
-                    tx.count_caps(w).alias("n_caps"), tx.hits(t, i_words).alias("n_i"),
-                    tx.hits(t, we_words).alias("n_we"), tx.hits(t, you_words).alias("n_you"),
-                    tx.count_blank_separated("text").alias("n_blank"),
-                    tx.count_sentences("text").alias("n_sentences"),
-                    tx.count_syllables("text").alias("n_syllables")))
+    lists = {"n_i": list(i_words), "n_we": list(we_words), "n_you": list(you_words)}
+    return text_counts(posts, ["author", "id", "created_utc"], tx.compose("body", "title"), COUNTS, lists)
 
 
 def style_windows(posts: DataFrame, labels: DataFrame, unit_days: int = UNIT_DAYS, **lists) -> DataFrame:
