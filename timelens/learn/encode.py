@@ -17,10 +17,9 @@ EncoderMaker = Callable[[], Callable[[list[str]], np.ndarray]]
 
 def letter_encoder() -> Callable[[list[str]], np.ndarray]:
     """Letter counts a to z: a deterministic stand-in when no model is at hand."""
-    letters = [chr(c) for c in range(97, 123)]
-
     def encode(texts: list[str]) -> np.ndarray:
-        return np.array([[t.lower().count(c) for c in letters] for t in texts], dtype=np.float64)
+        raw = (np.frombuffer(t.lower().encode("utf-8", "replace"), np.uint8) for t in texts)
+        return np.array([np.bincount(b, minlength=256)[97:123] for b in raw], dtype=np.float64).reshape(-1, 26)
     return encode
 
 
