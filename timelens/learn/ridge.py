@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,20 +103,24 @@ class Ridge:
         return out
 
     def deviation(self) -> Column:
-        """``sqrt(1/alpha + x' S x)`` through a factor of S, native columns only.
+        """``sqrt(1/alpha + x' S x)`` through a factor of S, as one product a batch; null where a feature is.
 
         As in the estimator being matched, the scaled row is not centred again.
         """
         values, vectors = np.linalg.eigh(self.sigma)
         root = vectors * np.sqrt(np.maximum(values, 0.0))
-        x = F.array(*self._scaled())
-        total = F.lit(1.0 / self.alpha)
-        for k in range(root.shape[1]):
-            if not np.any(root[:, k]):
-                continue
-            part = F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in root[:, k]]), lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
-            total = total + part * part
-        return F.sqrt(total)
+        root = root[:, np.any(root, axis=0)]
+        mean, scale, noise = np.array(self.mean, float), np.array(self.scale, float), 1.0 / self.alpha
+
+        @F.arrow_udf("double")
+        def spread(*columns: pa.Array) -> pa.Array:
+            # A null becomes NaN here and null again below.
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns])
+            part = ((x - mean) / scale) @ root
+            missing = np.any([c.is_null().to_numpy(zero_copy_only=False) for c in columns], axis=0)
+            return pa.array(np.sqrt(noise + (part * part).sum(1)), pa.float64(), mask=missing)
+
+        return spread(*[F.col(c).cast("double") for c in self.features])
 
 
 def fit_ridge(df: DataFrame, features: list[str], target: str = "y", weight: str | None = None, max_iter: int = 500, tol: float = 1e-3,
