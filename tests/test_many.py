@@ -121,3 +121,20 @@ def test_permuted_pairs_keep_the_counts(data):
         slots = np.searchsorted(ends, many.shuffler(90, design.seed)(np.arange(90), r), "right")
         assert (np.bincount(slots, minlength=15) == design.n_slots.ravel()).all()
     assert data.where(F.col("fold") == 0).count() == design.n_slots[:, 0].sum()
+
+
+def test_settled_responses_are_left_alone(data, monkeypatch):
+    """Passes take only the responses that still move."""
+    design, seen = many.Design(data, FEATURES), []
+    sums = design._sums
+
+    def counted(responses, *rest):
+        seen.append(len(responses))
+        return sums(responses, *rest)
+
+    monkeypatch.setattr(design, "_sums", counted)
+    responses = [many.Response(c=3.0), *[many.Response(i, 1e-4) for i in range(6)]]
+    w = design.fit(responses)
+    assert min(seen[1:]) < 7 and len(w) == 7
+    for j in (0, 3):
+        assert np.abs(w[j] - design.fit([responses[j]])[0]).max() < 2e-3

@@ -22,6 +22,8 @@ from .folds import CLASSES, Prepared, class_index
 
 #: Responses of one block of gradients, matrix elements that a task works on at once, steps of score at which curves are cut.
 BLOCK, AT_ONCE, STEPS = 25, 1 << 22, 1024
+#: Share of the tolerance under which a response is left alone.
+SETTLED = 1e-3
 
 
 @dataclass(frozen=True)
@@ -96,9 +98,35 @@ class Design:
             return x, slots
         return read
 
-    def _sums(self, responses: list[Response], work, name: str) -> dict[int, np.ndarray]:
-        """Arrays that ``work(x, slots) -> (responses, ...)`` gives for parts of the rows, summed by blocks of responses."""
-        read, block, r_all, step = self._reader(responses), BLOCK, len(responses), max(1, AT_ONCE // (len(responses) * self.folds * self.classes))
+    def _dealt(self, responses: list[Response]) -> DataFrame:
+        """Features and slots of all rows, written once: passes would deal them anew each time."""
+        read, kind = self._reader(responses), np.dtype(np.uint8 if self.n_slots.size <= 256 else np.int64)
+
+        def run(batches):
+            for batch in batches:
+                slots = read(batch)[1].astype(kind)
+                yield pa.RecordBatch.from_arrays([batch.column("_x"), pa.array([s.tobytes() for s in slots], pa.binary())], names=["_x", "_s"])
+
+        return materialize(self.rows.select("_x", "_pos", "_y", "fold").mapInArrow(run, "_x array<double>, _s binary"), "dealt")
+
+    def _dealt_reader(self, live: np.ndarray):
+        width, kind = self.width, np.dtype(np.uint8 if self.n_slots.size <= 256 else np.int64)
+
+        def read(batch):
+            x = np.ones((batch.num_rows, width))
+            x[:, 1:] = np.asarray(batch.column("_x").flatten()).reshape(batch.num_rows, width - 1)
+            slots = np.frombuffer(b"".join(batch.column("_s").to_pylist()), kind).reshape(batch.num_rows, -1)
+            return x, slots[:, live].astype(np.int64)
+        return read
+
+    def _sums(self, responses: list[Response], work, name: str, dealt: DataFrame | None = None, live: np.ndarray | None = None) -> dict[int, np.ndarray]:
+        """Arrays that ``work(x, slots) -> (responses, ...)`` gives for parts of the rows, summed by blocks of responses.
+
+        ``dealt``: the rows with the slots of more responses, of which those at ``live`` are meant (``_dealt``).
+        """
+        block, r_all, step = BLOCK, len(responses), max(1, AT_ONCE // (len(responses) * self.folds * self.classes))
+        read = self._reader(responses) if dealt is None else self._dealt_reader(live)
+        rows = self.rows.select("_x", "_pos", "_y", "fold") if dealt is None else dealt
 
         def run(batches):
             total = None
@@ -115,7 +143,7 @@ class Design:
             s = sum(np.frombuffer(v) for v in table["s"].to_pylist())
             return pa.table({"block": table["block"].slice(0, 1), "s": pa.array([s.tobytes()], pa.binary())})
 
-        made = self.rows.select("_x", "_pos", "_y", "fold").mapInArrow(run, "block int, s binary").groupBy("block").applyInArrow(add, "block int, s binary")
+        made = rows.mapInArrow(run, "block int, s binary").groupBy("block").applyInArrow(add, "block int, s binary")
         return {r["block"]: np.frombuffer(r["s"]) for r in made.collect()}
 
     def _joined(self, parts: dict[int, np.ndarray], shape: tuple) -> np.ndarray:
@@ -132,7 +160,8 @@ class Design:
         """Coefficients (response, fold, feature, class) of balanced logistic regressions that leave a fold out each.
 
         Steps go along a fixed upper bound of the curvature (half the weighted second moments and the penalty) with momentum that restarts
-        when it points uphill, so no step needs a second pass. The last step moved no coefficient by ``tol`` or more.
+        when it points uphill, so no step needs a second pass. The last step moved no coefficient by ``tol`` or more; responses that moved by
+        less than a thousandth of it are left as they are while others go on.
         """
         r_all, folds, k, d = len(responses), self.folds, self.classes, self.width
         share = self.class_weights()
@@ -146,7 +175,8 @@ class Design:
         def moments(x, slots):
             return np.einsum("ni,nr,nj->rij", x, top[slots], x, optimize=True)
 
-        second = self._joined(self._sums(responses, moments, "moments"), (r_all, d, d))
+        dealt, live = self._dealt(responses), np.arange(r_all)
+        second = self._joined(self._sums(responses, moments, "moments", dealt, live), (r_all, d, d))
         ridge = np.eye(d)[None, None] * penalty[:, :, None, None]
         ridge[:, :, 0, 0] = 1e-9
         inverse = np.linalg.inv(second[:, None] / 2 + ridge)
@@ -155,25 +185,34 @@ class Design:
         w = np.zeros((r_all, folds, d, k))
         ahead, last, age = w.copy(), w.copy(), np.zeros((r_all, folds, 1, 1))
         for _ in range(max_iter):
-            at = ahead.transpose(2, 0, 1, 3).reshape(d, -1).copy()
+            some = ahead[live]
+            at = some.transpose(2, 0, 1, 3).reshape(d, -1).copy()
 
             def gradients(x, slots, at=at):
-                z = (x @ at).reshape(len(x), r_all, folds, k)
-                z -= z.max(3, keepdims=True)
-                p = np.exp(z, out=z)
-                p /= p.sum(3, keepdims=True)
-                np.subtract(p, (slots // folds)[:, :, None, None] == np.arange(k), out=p)
-                p *= weight.T[slots][..., None]
-                return (x.T @ p.reshape(len(x), -1)).reshape(d, r_all, folds, k).transpose(1, 2, 0, 3).copy()
-
-            g = self._joined(self._sums(responses, gradients, "gradients"), w.shape) + penalty * ahead
-            w = ahead - inverse @ g
-            uphill = ((g * (w - last)).sum((2, 3), keepdims=True) > 0)
-            age = np.where(uphill, 0.0, age + 1)
-            ahead = w + age / (age + 3) * (w - last)
-            moved, last = np.abs(w - last).max(), w
-            if moved < tol:
+                out, each = np.empty((slots.shape[1], folds, d, k)), folds * k
+                # A few responses at a time stay in the processor's cache.
+                for a in range(0, len(out), BLOCK):
+                    mine = slots[:, a:a + BLOCK]
+                    z = (x @ at[:, a * each:(a + BLOCK) * each]).reshape(len(x), -1, folds, k)
+                    z -= z.max(3, keepdims=True)
+                    p = np.exp(z, out=z)
+                    p /= p.sum(3, keepdims=True)
+                    np.subtract(p, (mine // folds)[:, :, None, None] == np.arange(k), out=p)
+                    p *= weight.T[mine][..., None]
+                    out[a:a + BLOCK] = (x.T @ p.reshape(len(x), -1)).reshape(d, -1, folds, k).transpose(1, 2, 0, 3)
+                return out
+
+            g = self._joined(self._sums([responses[j] for j in live], gradients, "gradients", dealt, live), some.shape) + penalty[live] * some
+            new = some - inverse[live] @ g
+            step = new - last[live]
+            uphill = ((g * step).sum((2, 3), keepdims=True) > 0)
+            age[live] = np.where(uphill, 0.0, age[live] + 1)
+            ahead[live] = new + age[live] / (age[live] + 3) * step
+            w[live] = last[live] = new
+            moved = np.abs(step).max((1, 2, 3))
+            if moved.max() < tol:
                 break
+            live = live[moved >= tol * SETTLED]
         return w
 
     def aucs(self, responses: list[Response], w: np.ndarray) -> DataFrame:
